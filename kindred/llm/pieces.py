@@ -17,7 +17,9 @@ MARK = "▁".encode()
 _OWN_MARK = b"\xff"
 UNKNOWN_PENALTY = 10.0
 #: Units whose ids a worker remembers; then it begins anew.
-MEMORY = 150_000
+MEMORY = 400_000
+#: Bytes of units that are searched together and remembered; longer ones are rare and searched one by one.
+TOGETHER = 96
 
 
 class DoubleArray:
@@ -158,21 +160,102 @@ class Pieces:
             at = start
         return out[::-1]
 
-    def _learn(self, unit: bytes) -> bytes:
-        marked = unit.replace(MARK, _OWN_MARK).replace(b" ", MARK)
-        ids = np.array(self.best(marked), "<i4").tobytes()
-        if len(unit) <= 64:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[unit] = ids
-        return ids
+    def best_of_many(self, units: list[bytes]) -> list[list[int]]:
+        """best() of each unit; all units take each step together."""
+        arrays = self._arrays()
+        base, check, value, scores, width_of = arrays
+        lengths = np.array([len(u) for u in units])
+        longest, n = int(lengths.max()), len(units)
+        text = np.frombuffer(b"".join(u.ljust(longest, b"\0") for u in units), np.uint8).reshape(n, longest).astype(np.int64)
+        total = np.full((n, longest + 5), -np.inf)
+        total[:, 0] = 0.0
+        piece_at = np.full((n, longest + 5), -1, np.int32)
+        from_at = np.zeros((n, longest + 5), np.int32)
+        for i in range(longest):
+            rows = np.flatnonzero((lengths > i) & (total[:, i] > -np.inf))
+            if not len(rows):
+                continue
+            begun, width = rows, width_of[text[rows, i]]
+            single = np.zeros(n, bool)
+            wide = np.zeros(n, np.int64)
+            wide[rows] = width
+            node = np.zeros(len(rows), np.int64)
+            for j in range(i, longest):
+                inside = lengths[rows] > j
+                rows, node = rows[inside], node[inside]
+                child = base[node] + text[rows, j] + 1
+                ok = check[child] == node
+                rows, node = rows[ok], child[ok]
+                if not len(rows):
+                    break
+                piece = value[node]
+                has = piece >= 0
+                hit, piece = rows[has], piece[has]
+                score = total[hit, i] + scores[piece]
+                better = score > total[hit, j + 1]
+                hit = hit[better]
+                total[hit, j + 1] = score[better]
+                piece_at[hit, j + 1] = piece[better]
+                from_at[hit, j + 1] = i
+                single[rows[has]] |= wide[rows[has]] == j + 1 - i
+            lost = begun[~single[begun]]
+            to = np.minimum(lengths[lost], i + wide[lost])
+            score = total[lost, i] + self.unknown
+            better = score > total[lost, to]
+            lost, to = lost[better], to[better]
+            total[lost, to] = score[better]
+            piece_at[lost, to] = -1
+            from_at[lost, to] = i
+        paths: list[list[int]] = [[] for _ in units]
+        steps, at, odd = [], lengths.copy(), np.zeros(n, bool)
+        rows = np.arange(n)
+        while len(rows):
+            piece = piece_at[rows, at[rows]]
+            odd[rows[piece < 0]] = True
+            steps.append((rows, piece))
+            at[rows] = from_at[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        for rows, piece in reversed(steps):
+            for r, p in zip(rows.tolist(), piece.tolist(), strict=True):
+                paths[r].append(p)
+        for r in np.flatnonzero(odd).tolist():
+            paths[r] = self.best(units[r])
+        return paths
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        if not hasattr(self, "_tables"):
+            lead = np.arange(256)
+            width = np.where((lead < 0xC0) | (lead == 0xFF), 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            self._tables = (*(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores, np.float64), width)
+        return self._tables
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers. A text that isn't empty begins with one more space."""
+        units = [self.unit.findall(b" " + t) if t else [] for t in texts]
+        seen = set().union(*units)
+        new = [u for u in seen if u not in self.memory]
+        if len(self.memory) + len(new) > MEMORY:
+            self.memory.clear()
+            new = list(seen)
+        marked = {u: u.replace(MARK, _OWN_MARK).replace(b" ", MARK) for u in new}
+        new.sort(key=lambda u: len(marked[u]))
+        once: dict[bytes, bytes] = {}
+        at = 0
+        while at < len(new):
+            to = at + 1
+            limit = len(marked[new[at]]) + 4
+            while to < len(new) and to - at < 4096 and len(marked[new[to]]) <= limit:
+                to += 1
+            group = new[at:to]
+            short = limit <= TOGETHER
+            paths = self.best_of_many([marked[u] for u in group]) if short and len(group) > 8 else [self.best(marked[u]) for u in group]
+            (self.memory if short else once).update((u, np.array(p, "<i4").tobytes()) for u, p in zip(group, paths, strict=True))
+            at = to
+        known = self.memory.get
+        return [b"".join([known(u) or once[u] for u in us]) for us in units]
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian 32-bit numbers. A text that isn't empty begins with one more space."""
-        if not text:
-            return b""
-        known, learn = self.memory.get, self._learn
-        return b"".join([known(u) or learn(u) for u in self.unit.findall(b" " + text)])
+        return self.encode_many([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         shown = self.shown
@@ -182,8 +265,8 @@ class Pieces:
 def _batches(pieces):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces.value
-        for batch, texts in sliced(batches, "text", 1 << 20):
-            coded = [model.encode(t) for t in texts]
+        for batch, texts in sliced(batches, "text", 2 << 20):
+            coded = model.encode_many(texts)
             ids = np.frombuffer(b"".join(coded), "<i4")
             ends = np.cumsum([0] + [len(c) // 4 for c in coded])
             back = [model.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
