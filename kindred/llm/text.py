@@ -16,6 +16,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: LOWER, with ASCII punctuation as white space.
+LETTERS = LOWER.copy()
+LETTERS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -85,13 +89,14 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         i = j
 
 
-def words_hashed(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, in order, and where each text's words begin (one entry more than texts)."""
+def words_hashed(texts: list[bytes], fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, in order, and where each text's words begin (one entry more than texts).
+
+    fold: the byte that stands for each byte.
+    """
     hashes, counts = [], np.zeros(len(texts) + 1, np.int64)
     for first, last, joined in pieces(texts):
-        buf = np.frombuffer(joined, np.uint8)
-        if lower:
-            buf = LOWER[buf]
+        buf = fold[np.frombuffer(joined, np.uint8)]
         starts, ends = word_bounds(buf)
         hashes.append(spans_hashed(buf, starts, ends))
         if last - first == 1:

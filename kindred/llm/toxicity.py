@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix, sliced, words_hashed
+from .text import LETTERS, mix, sliced, words_hashed
 
 #: Buckets of hashed features; labelled rows that are learned from at most, those of the smallest hashes; passes over them.
-BITS, SAMPLE, PASSES = 20, 12_000, 2
+BITS, SAMPLE, PASSES = 20, 12_000, 3
 #: FTRL: rate, its offset, and the weights of the two penalties.
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.3
 
 
@@ -23,8 +23,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of all words, word pairs and pairs with one word between, within each text."""
-    words, at = words_hashed(texts)
+    """(text number, bucket) of all words, word pairs and pairs with one word between; punctuation parts words."""
+    words, at = words_hashed(texts, LETTERS)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     shift = np.uint64(64 - BITS)
     out_o, out_b = [owner], [mix(words ^ np.uint64(0x51)) >> shift]
