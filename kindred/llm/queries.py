@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, mixing, pieces, toxicity
+from . import chat, exact, language, mixing, pieces, spots, toxicity
 from .session import table
 
 #: The vocabulary file of op2; a parameter of pieces.encode.
@@ -25,6 +25,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label(docs, language.fit(docs)).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op6_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -38,7 +42,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op7_toxicity, op8_mixing, op9_chat)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op6_spots, op7_toxicity, op8_mixing, op9_chat)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
