@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, mixing, pieces, spots, toxicity
+from . import bloomlm, chat, exact, language, mixing, pieces, spots, toxicity
 from .session import table
 
 #: The vocabulary file of op2; a parameter of pieces.encode.
@@ -42,7 +42,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op6_spots, op7_toxicity, op8_mixing, op9_chat)}
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op6_spots, op7_toxicity, op8_mixing, op9_chat, op10_bloom_lm)}
 
 ORACLES = {
     "op3_exact_dedup": r"""

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
-            batch = batch.filter(pa.compute.equal(batch.column("predicted"), 0))
+            batch = batch.filter(pc.equal(batch.column("predicted"), 0))
             yield batch.drop_columns(["score", "predicted"]).rename_columns(["text" if c == "_text" else c for c in batch.schema.names if c not in ("score", "predicted")])
 
     order = [c for c in docs.columns if c != "text"]
