@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, chat, exact, language, mixing, pieces, spots, toxicity
+from . import bloomlm, chat, exact, language, mixing, pieces, shingles, spots, toxicity
 from .session import table
 
 #: The vocabulary file of op2; a parameter of pieces.encode.
@@ -25,6 +25,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label(docs, language.fit(docs)).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomlm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op6_spots, op7_toxicity, op8_mixing, op9_chat, op10_bloom_lm)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op5_shingle_join, op6_spots, op7_toxicity, op8_mixing, op9_chat, op10_bloom_lm)}
 
 ORACLES = {
     "op3_exact_dedup": r"""

@@ -119,9 +119,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(_scored(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that are predicted toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs without those that the model predicts toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     run = _scored(shared)
     found = docs.withColumn("_text", F.col("text"))
 
