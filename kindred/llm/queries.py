@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, chat, exact, language, mixing, pieces, shingles, spots, toxicity
+from . import bloomlm, chat, exact, language, mixing, pieces, repeats, shingles, spots, toxicity
 from .session import table
 
 #: The vocabulary file of op2; a parameter of pieces.encode.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), MODEL)
 
@@ -50,7 +54,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomlm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_exact_dedup, op4_language, op5_shingle_join, op6_spots, op7_toxicity, op8_mixing, op9_chat, op10_bloom_lm)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pieces, op3_exact_dedup, op4_language, op5_shingle_join, op6_spots, op7_toxicity, op8_mixing, op9_chat, op10_bloom_lm)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
