@@ -25,7 +25,7 @@ from .text import mix, powers, sliced
 
 WIDTH, GRAM = 100, 16
 #: Strings of a text that are looked at together, and bytes of contexts in one suffix array.
-RANGE, BLOCK = 1 << 20, 4 << 20
+RANGE, BLOCK = 1 << 20, 2 << 20
 
 
 def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -124,7 +124,7 @@ def _found(shards: int):
     """Contexts by seed; of equal ones in a slice of documents only the first, the others are covered already."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "text", 6 << 20):
+        for batch, texts in sliced(batches, "text", 3 << 19):
             text, start, times, seed, content = contexts(texts)
             if not len(text):
                 continue
