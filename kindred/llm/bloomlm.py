@@ -244,8 +244,8 @@ def _scored(shared):
     return run
 
 
-def _looked_up(total: int, distinct: int):
-    """Exact counts of a shard's rare words, summed for each document."""
+def _looked_up(total: int, distinct: int, shards: int):
+    """Exact counts of a shard's rare words, summed for each document and packed by the documents' shards."""
 
     def run(key: tuple, asked: pa.Table, counted: pa.Table) -> pa.Table:
         words = np.frombuffer(b"".join(counted.column("words").to_pylist()), "<u8")
@@ -258,11 +258,22 @@ def _looked_up(total: int, distinct: int):
             c = np.where(words[at] == hashes, n[at], 0)
         logs = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         found, back = np.unique(rows, return_inverse=True)
-        return pa.table({"row": pa.array(found), "known": pa.array(np.bincount(back, c > 0, len(found)).astype(np.int64)), "base": pa.array(np.bincount(back, logs, len(found)))})
+        known, base = np.bincount(back, c > 0, len(found)).astype(np.int32), np.bincount(back, logs, len(found))
+        home = shard_of(mix(found.view(np.uint64)), shards)
+        order = np.argsort(home, kind="stable")
+        edge = np.searchsorted(home[order], np.arange(shards + 1))
+        full = [s for s in range(shards) if edge[s] < edge[s + 1]]
+        return pa.table({"home": pa.array(full, pa.int32()), **{k: pa.array([v[order[edge[s] : edge[s + 1]]].tobytes() for s in full], pa.binary()) for k, v in (("rows", found), ("known", known), ("base", base))}})
 
     return run
 
 
+def _summed_up(key: tuple, table: pa.Table) -> pa.Table:
+    rows, known, base = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("rows", np.int64), ("known", np.int32), ("base", np.float64)))
+    found, back = np.unique(rows, return_inverse=True)
+    return pa.table({"row": pa.array(found), "rare_known": pa.array(np.bincount(back, known, len(found)).astype(np.int64)), "rare_base": pa.array(np.bincount(back, base, len(found)))})
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
@@ -276,8 +287,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", test_fold(F.col("doc_id")).alias("held_out"), "text")
     made = stored(rows.mapInArrow(_scored(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, shard int, rows binary, hashes binary"), "lm-rows")
     asked = made.where("shard is not null").select("shard", "rows", "hashes")
-    rare = asked.groupBy("shard").cogroup(counted.select("shard", "words", "word_counts").groupBy("shard")).applyInArrow(_looked_up(model.total, model.distinct), "row long, known long, base double")
-    rare = rare.groupBy("row").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"))
+    rare = asked.groupBy("shard").cogroup(counted.select("shard", "words", "word_counts").groupBy("shard")).applyInArrow(_looked_up(model.total, model.distinct, model.shards), "home int, rows binary, known binary, base binary")
+    rare = rare.groupBy("home").applyInArrow(_summed_up, "row long, rare_known long, rare_base double")
     whole = made.where("shard is null").drop("shard", "rows", "hashes").join(rare, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return whole.select(
