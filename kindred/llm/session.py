@@ -8,7 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB, whatever their lengths; by default they go by thousands of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at once; a longer run without white space is taken whole.
 SLICE = 1 << 20
@@ -107,21 +109,46 @@ def words_hashed(texts: list[bytes], fold: np.ndarray = LOWER) -> tuple[np.ndarr
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.cumsum(counts)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as workers live on from task to task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches that hold about size bytes of text, with these texts as bytes."""
+    """Slices of the batches that hold about size bytes of text, with these texts as bytes; small batches are joined."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = text_bytes(batch.column(column))
-        at, total = 0, 0
-        for k, t in enumerate(texts):
-            if k > at and total + len(t) > size:
-                yield batch.slice(at, k - at), texts[at:k]
-                at, total = k, 0
-            total += len(t)
-        yield batch.slice(at), texts[at:]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            reach = np.cumsum(lengths[at:]) + total
+            n = int(np.searchsorted(reach, size)) + 1
+            part = batch.slice(at, n)
+            held.append(part)
+            total = int(reach[part.num_rows - 1])
+            at += part.num_rows
+            if total >= size:
+                yield _joined(held, column)
+                held, total = [], 0
+    if held:
+        yield _joined(held, column)
+    release()
+
+
+def _joined(held: list[pa.RecordBatch], column: str) -> tuple[pa.RecordBatch, list[bytes]]:
+    batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+    return batch, text_bytes(batch.column(column))
