@@ -60,7 +60,7 @@ def unique_records(records: DataFrame) -> DataFrame:
 
 def truth_links(lists: DataFrame, s1: str = "source1_entity_id", ids: str = "matched_entity_ids") -> DataFrame:
     """(s1_id, target_id) of comma lists; blanks dropped, repeats once."""
-    items = F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return lists.select(F.trim(s1).alias("s1_id"), F.explode(items).alias("target_id")).distinct()
 
 
