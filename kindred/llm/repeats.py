@@ -272,7 +272,7 @@ def _removed(kind: pa.DataType):
         x = _read(covered, COVERED, {"order": "<i8", "start": "<u4", "times": "<u4"})
         o, a, b = _merged(x["order"], x["start"].astype(np.int64), x["times"].astype(np.int64))
         edge = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else np.zeros(0, np.int64)
-        spans = {int(o[i]): (i, j) for i, j in zip(edge.tolist(), np.append(edge[1:], len(o)).tolist(), strict=True)}
+        spans = {int(o[i]): (i, j) for i, j in zip(edge.tolist(), np.append(edge[1:], len(o))[: len(edge)].tolist(), strict=True)}
         unpack = zstandard.ZstdDecompressor().decompress
         out: list[tuple[int, int, int, str, list[dict]]] = []
         for order, packed in zip(docs.column("order").to_pylist(), docs.column("packed"), strict=True):

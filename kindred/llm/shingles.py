@@ -182,7 +182,7 @@ def _postings(like: Likeness):
         nodes, tokens, held = nodes[order], tokens[order], held[order]
         edge = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
         out: list[tuple[np.ndarray, int, int, np.ndarray, int]] = []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(nodes)).tolist(), strict=True):
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(nodes))[: len(edge)].tolist(), strict=True):
             node = int(nodes[a])
             n = size_of[node]
             lone = n - (b - a)
