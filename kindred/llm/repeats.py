@@ -113,6 +113,11 @@ def _home(order: np.ndarray, shards: int) -> np.ndarray:
     return shard_of(mix(order.view(np.uint64)), shards)
 
 
+def _seat(seed: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a seed. Seeds are least hashes, so they are hashed once more to fall everywhere."""
+    return shard_of(mix(seed), shards)
+
+
 def _firsts(seed: np.ndarray, content: np.ndarray, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a sorting by seed, content and place; whether each of it is the first of its equals)."""
     rank = np.lexsort((start, order, content, seed))
@@ -131,7 +136,7 @@ def _found(shards: int):
             order = batch.column("order").to_numpy()[text]
             rank, first = _firsts(seed, content, order, start)
             keep, later = rank[first], rank[~first]
-            yield _by_shard(shard_of(seed[keep], shards), shards, {"seed": seed[keep], "content": content[keep], "order": order[keep], "start": start[keep].astype("<u4"), "times": times[keep].astype(np.uint8)}, SEEDED)
+            yield _by_shard(_seat(seed[keep], shards), shards, {"seed": seed[keep], "content": content[keep], "order": order[keep], "start": start[keep].astype("<u4"), "times": times[keep].astype(np.uint8)}, SEEDED)
             if len(later):
                 o, a, b = _merged(order[later], start[later], start[later] + times[later] + WIDTH - 1)
                 yield _by_shard(_home(o, shards), shards, {"order": o, "start": a.astype("<u4"), "times": b.astype("<u4")}, COVERED)
@@ -197,7 +202,7 @@ def _cut(shards: int):
             if o != now:
                 now, text = o, unpack(packed[row_of[o]].as_py())
             blobs[i] = text[start[i] : start[i] + times[i] + WIDTH - 1]
-        to = shard_of(x["seed"], shards)
+        to = _seat(x["seed"], shards)
         rank = np.argsort(to, kind="stable")
         edge = np.searchsorted(to[rank], np.arange(shards + 1))
         full = [s for s in range(shards) if edge[s] < edge[s + 1]]
