@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -43,3 +44,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fan_out(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with columns c0, c1, ..., which clash with no other, and these by their names."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows, {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}

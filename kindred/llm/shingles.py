@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bloomlm import shard_of
 from .graph import components, salted_join
-from .session import fan_out, stored
+from .session import fan_out, numbered, stored
 from .text import mix, sliced, words_hashed
 
 #: Sets that hold a frequent token at least; sets from LONG tokens on index frequent ones alone too, as pairs would be many.
@@ -101,14 +101,14 @@ def _prefixed(like: Likeness):
 
 
 def _packed(shards: int, column: str):
-    """Rows (node, tokens) as (shard, nodes, tokens) with the tokens of a range of hashes each."""
+    """Rows (node, tokens) as (shard, nodes, tokens). Prefixes hold least hashes, so tokens are hashed again for a shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(column)
             tokens = lists.flatten().to_numpy().view(np.uint64)
             nodes = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            shard = shard_of(tokens, shards)
+            shard = shard_of(mix(tokens), shards)
             order = np.argsort(shard, kind="stable")
             tokens, nodes = tokens[order], nodes[order]
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -131,9 +131,27 @@ def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes[keep], tokens[keep], held[keep]
 
 
-def _count_shared(key: tuple, table: pa.Table) -> pa.Table:
-    nodes, n = np.unique(_shared(table)[0], return_counts=True)
-    return pa.table({"node": pa.array(nodes, pa.int64()), "shared": pa.array(n, pa.int64())})
+def _by_home(nodes: np.ndarray, columns: dict[str, np.ndarray], shards: int, name: str) -> pa.Table:
+    """Columns packed by the shard of their nodes."""
+    home = shard_of(mix(nodes.view(np.uint64)), shards)
+    order = np.argsort(home, kind="stable")
+    edge = np.searchsorted(home[order], np.arange(shards + 1))
+    full = [s for s in range(shards) if edge[s] < edge[s + 1]]
+    return pa.table({name: pa.array(full, pa.int32()), **{k: pa.array([v[order[edge[s] : edge[s + 1]]].tobytes() for s in full], pa.binary()) for k, v in columns.items()}})
+
+
+def _count_shared(shards: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, n = np.unique(_shared(table)[0], return_counts=True)
+        return _by_home(nodes, {"nodes": nodes, "shared": n.astype(np.int32)}, shards, "home")
+
+    return run
+
+
+def _sum_shared(key: tuple, table: pa.Table) -> pa.Table:
+    nodes, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("shared", np.int32)))
+    found, back = np.unique(nodes, return_inverse=True)
+    return pa.table({"node": pa.array(found, pa.int64()), "shared": pa.array(np.bincount(back, n, len(found)).astype(np.int64))})
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -163,12 +181,7 @@ def _by_node(shards: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         nodes, tokens, held = _shared(table)
-        to = shard_of(mix(nodes.view(np.uint64)), shards)
-        order = np.argsort(to, kind="stable")
-        nodes, tokens, held = nodes[order], tokens[order], np.minimum(held[order], 1 << 30).astype(np.int32)
-        edge = np.searchsorted(to[order], np.arange(shards + 1))
-        full = [s for s in range(shards) if edge[s] < edge[s + 1]]
-        return pa.table({"part": pa.array(full, pa.int32()), **{k: pa.array([v[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary()) for k, v in (("nodes", nodes), ("tokens", tokens), ("held", held))}})
+        return _by_home(nodes, {"nodes": nodes, "tokens": tokens, "held": np.minimum(held, 1 << 30).astype(np.int32)}, shards, "part")
 
     return run
 
@@ -213,8 +226,12 @@ def _near(like: Likeness, a: str, b: str) -> Column:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
+    """The pairs that link. Only the sets of some pair move; the stored tables' sizes tell how."""
+    pairs = stored(pairs, "shingle-pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    used = stored(sets.join(named, "node", "left_semi"), "shingle-used")
+    one = used.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
+    two = used.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("_common", F.size(F.array_intersect("_ta", "_tb")))
     return both.where(like.holds(F.col("_common"), F.size("_ta"), F.size("_tb"))).select("a", "b")
 
@@ -237,7 +254,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     sets = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sets = stored(sets, "shingle-sets")
     packed = "shard int, nodes binary, tokens binary"
-    counts = sets.select("node", "prefix").mapInArrow(_packed(shards, "prefix"), packed).groupBy("shard").applyInArrow(_count_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    counts = sets.select("node", "prefix").mapInArrow(_packed(shards, "prefix"), packed).groupBy("shard").applyInArrow(_count_shared(shards), "home int, nodes binary, shared binary")
+    counts = counts.groupBy("home").applyInArrow(_sum_shared, "node long, shared long")
     least = F.least(F.floor(F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9) / 20) + 1, F.ceil(F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9) * F.lit(percent) / 100 - 1e-9))
     candidates = stored(sets.select("node", "n", "rep").where("rep is not null").join(counts, "node").where(F.col("shared") >= least).select("node", "n", F.col("rep").cast("long").alias("rep")), "shingle-candidates")
     bits = np.zeros(CANDIDATE_BITS, np.uint8)
@@ -264,7 +282,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     known = stored(known.select("key", "node", "n", "pos", "hnode", F.coalesce("_r", "node").alias("root"), F.coalesce("_h", "hnode").alias("hroot")), "shingle-known")
     apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
     again = apart.join(known, "key").where("root <> xroot and node <> hnode").where(_near(like, "x", "")).select(*order(F.col("xnode"), F.col("node"))).distinct()
-    links = links.union(_links(again, full, like))
+    links = links.union(stored(_links(again, full, like), "shingle-links"))
     roots = components(links)
     named = sets.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "shingle-named")
@@ -290,5 +308,6 @@ def _part(node: Column, shards: int) -> Column:
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with the row of the smallest doc_id of each component; texts without words stay all."""
     found = jaccard_components(docs, words, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows, at = numbered(docs)
+    return rows.join(kept, at["doc_id"].eqNullSafe(kept["doc_id"])).select(*rows.columns).toDF(*docs.columns)
