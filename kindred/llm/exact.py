@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import numbered, stored
 from .text import sliced
 
 #: Four fields of 31 bits, a base in each, and the bytes of a chunk: a chunk's sum stays below 2**53, exact in doubles.
@@ -123,5 +123,6 @@ def _unequal(texts: DataFrame, members: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row has already; one of each group stays whole."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(normal(F.col("text")).cast("binary"), 256) == F.col("_sha"))
-    return docs.join(kept, same).dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    rows, at = numbered(docs)
+    same = at["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(normal(at["text"]).cast("binary"), 256) == F.col("_sha"))
+    return rows.join(kept, same).dropDuplicates(["_id", "_sha"]).select(*rows.columns).toDF(*docs.columns)

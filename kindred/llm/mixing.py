@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, and about how many words a shard holds; a shard is what one window task sorts.
@@ -106,11 +106,13 @@ def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_w
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     """docs with each row as often as the mix takes it; a document taken in part gives a row with its first words."""
-    taken = mix(docs, seed).where("taken > 0").groupBy("doc_id", "text_key").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    words = F.expr("explode(filter(concat(array_repeat(_size, int(_taken div _size)), array(_taken % _size)), x -> x > 0))")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn("_words", words).withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    taken = mix(docs, seed).where("taken > 0").groupBy("doc_id", "text_key").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+    rows, at = numbered(docs)
+    rows = rows.join(taken, at["doc_id"].eqNullSafe(F.col("doc_id")) & (F.xxhash64(at["text"]) == F.col("text_key")))
+    rows = rows.withColumn("_words", F.expr("explode(filter(concat(array_repeat(_size, int(_taken div _size)), array(_taken % _size)), x -> x > 0))"))
+    part = F.col("_words") < F.col("_size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(at["text"], F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), "")
+    shown = at | {"text": F.when(part, cut).otherwise(at["text"])}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        shown["n_chars"] = F.when(part, F.length(cut)).otherwise(at["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(n) for n, c in shown.items()])

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import numbered
 from .text import LETTERS, mix, sliced, words_hashed
 
 #: Buckets of hashed features; labelled rows that are learned from at most, those of the smallest hashes; passes over them.
@@ -121,15 +122,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs without those that the model predicts toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    run = _scored(shared)
-    found = docs.withColumn("_text", F.col("text"))
+    run = _scored(docs.sparkSession.sparkContext.broadcast(model))
+    rows, at = numbered(docs)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
-            batch = batch.filter(pc.equal(batch.column("predicted"), 0))
-            yield batch.drop_columns(["score", "predicted"]).rename_columns(["text" if c == "_text" else c for c in batch.schema.names if c not in ("score", "predicted")])
+            yield batch.filter(pc.equal(batch.column("predicted"), 0)).drop_columns(["score", "predicted"])
 
-    order = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*order, "text"])
-    return found.select(*order, "_text", "text").mapInArrow(keep, schema).select(*docs.columns)
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    return rows.select("*", at["text"].alias("text")).mapInArrow(keep, schema).toDF(*docs.columns)
