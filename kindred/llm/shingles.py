@@ -236,6 +236,31 @@ def _links(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return both.where(like.holds(F.col("_common"), F.size("_ta"), F.size("_tb"))).select("a", "b")
 
 
+def connected(postings: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
+    """(node, root) of the sets that links connect.
+
+    postings: (key, node, n, pos, lone), the keys under which each set of n tokens is indexed; full: (node, tokens) of
+    these sets. Sets of one key are compared with the first of them; only those that are not yet connected with it are
+    compared with the others.
+    """
+    heads = postings.groupBy("key").agg(F.min(F.struct("lone", "node", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    heads = heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"))
+    led = stored(salted_join(postings, heads, "key", F.col("node")), "shingle-led")
+    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = led.where("node <> hnode").where(_near(like, "", "h")).select(*order(F.col("node"), F.col("hnode"))).distinct()
+    links = stored(_links(first, full, like), "shingle-links")
+    roots = stored(components(links), "shingle-roots")
+    #: Sets that are not connected with their key's first one are compared with all others of the key.
+    root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
+    known = salted_join(led, root("node", "_r"), "node", F.col("key"), "left")
+    known = salted_join(known, root("hnode", "_h"), "hnode", F.col("node"), "left")
+    known = stored(known.select("key", "node", "n", "pos", "hnode", F.coalesce("_r", "node").alias("root"), F.coalesce("_h", "hnode").alias("hroot")), "shingle-known")
+    apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
+    again = apart.join(known, "key").where("root <> xroot and node <> hnode").where(_near(like, "x", "")).select(*order(F.col("xnode"), F.col("node"))).distinct()
+    links = links.union(stored(_links(again, full, like), "shingle-links"))
+    return components(links)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document.
 
@@ -268,22 +293,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     part_of = _part(F.col("node"), shards)
     postings = parts.groupBy("part").cogroup(candidates.select(part_of.alias("part"), "node", "n").groupBy("part")).applyInArrow(_postings(like), "key long, node long, n long, pos long, lone long")
     postings = stored(postings, "shingle-postings")
-    heads = postings.groupBy("key").agg(F.min(F.struct("lone", "node", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    heads = heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"))
-    led = stored(salted_join(postings, heads, "key", F.col("node")), "shingle-led")
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = led.where("node <> hnode").where(_near(like, "", "h")).select(*order(F.col("node"), F.col("hnode"))).distinct()
-    links = stored(_links(first, full, like), "shingle-links")
-    roots = stored(components(links), "shingle-roots")
-    #: Sets that are not connected with their key's first one are compared with all others of the key.
-    root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
-    known = salted_join(led, root("node", "_r"), "node", F.col("key"), "left")
-    known = salted_join(known, root("hnode", "_h"), "hnode", F.col("node"), "left")
-    known = stored(known.select("key", "node", "n", "pos", "hnode", F.coalesce("_r", "node").alias("root"), F.coalesce("_h", "hnode").alias("hroot")), "shingle-known")
-    apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
-    again = apart.join(known, "key").where("root <> xroot and node <> hnode").where(_near(like, "x", "")).select(*order(F.col("xnode"), F.col("node"))).distinct()
-    links = links.union(stored(_links(again, full, like), "shingle-links"))
-    roots = components(links)
+    roots = connected(postings, full, like)
     named = sets.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "shingle-named")
     linked = named.where("copies > 1").select("root").union(roots.select("root")).distinct()
