@@ -170,7 +170,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts of a bounded sample of the training documents with a language; at most 2**16 numbers a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select("doc_id").withColumn("_seeded", F.xxhash64("doc_id", F.lit(5))).orderBy("_seeded", "doc_id").limit(sample)
-    rows = known.select("doc_id", "lang", "text").join(chosen.select("doc_id").distinct(), "doc_id").select("lang", "text")
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", "text")
     counts = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_pylist()
     langs = sorted(set(names))

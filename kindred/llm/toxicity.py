@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Buckets with a weight, and the weights. Of several labels of a document the largest counts; null is no label."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.withColumn("seeded", F.xxhash64("doc_id", F.lit(7))).orderBy("seeded", "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("seeded", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("seeded", "toxic", "text")
     learned = rows.mapInArrow(_bucketed, "seeded long, toxic int, buckets array<int>").repartition(1).mapInArrow(_train, "bucket int, weight double").toArrow()
     return learned.column("bucket").to_numpy(), learned.column("weight").to_numpy()
 
