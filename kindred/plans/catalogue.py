@@ -218,7 +218,7 @@ def er_output_profile(spark, d):
 
 def _per_entity(spark, d):
     r, links = _parts(spark, d), rules.all_matches(_norm(spark, d))
-    return evaluate.per_entity(rec.entities_of(r), links, rec.part_truth(spark, d), ("rule",), spark.createDataFrame([(x,) for x in rules.RULES], "rule string"))
+    return evaluate.per_entity(rec.entities_of(r), links, rec.part_truth(spark, d), list(rules.RULES))
 
 
 @query(f"{o.PER_ENTITY} select rule, s1_id, actual, predicted, tp, round({o.fbeta_sql()}, 8) as fbeta, round({o.f2_sql()}, 8) as f2_sqlform from s")
@@ -235,7 +235,7 @@ def er_rule_eval(spark, d):
 @query(f"""{o.PER_ENTITY}, y as (select rule, s1_id, tp as actual, predicted, tp from s) select rule, s1_id, actual, predicted, tp, round({o.f2_sql()}, 8) as f2_sqlform from y""")
 def er_rule_eval_legacy(spark, d):
     links = rules.all_matches(_norm(spark, d))
-    return _rounded(evaluate.rules_legacy(rec.entities_of(_parts(spark, d)), links, rec.part_truth(spark, d)), ["f2_sqlform"])
+    return _rounded(evaluate.rules_legacy(rec.entities_of(_parts(spark, d)), links, rec.part_truth(spark, d), list(rules.RULES)), ["f2_sqlform"])
 
 
 @query(f"with {o.PART}, {o.TOPPED}, {o.TRUTH} select top.s1_id, top.target_id, cast(g.target_id is not null as integer) as label from top left join g using (s1_id, target_id)")

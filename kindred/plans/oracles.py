@@ -168,7 +168,7 @@ def f2_sql() -> str:
 
 
 PER_ENTITY = f"""{RULED},
-u as (select rule, entity_id as s1_id from one cross join (select distinct rule from m)),
+u as (select rule, entity_id as s1_id from one cross join (select unnest({list(RULE_SQL)}) as rule)),
 ga as (select s1_id, count(*) as actual from g group by 1),
 pp as (select rule, m.s1_id, count(*) as predicted, count(g.target_id) as tp from m left join g on m.s1_id = g.s1_id and m.target_id = g.target_id group by 1, 2),
 s as (select u.rule, u.s1_id, coalesce(actual, 0) as actual, coalesce(predicted, 0) as predicted, coalesce(tp, 0) as tp from u left join ga on u.s1_id = ga.s1_id left join pp on u.rule = pp.rule and u.s1_id = pp.s1_id)"""
