@@ -252,8 +252,7 @@ def connected(postings: DataFrame, full: DataFrame, like: Likeness) -> DataFrame
     roots = stored(components(links), "shingle-roots")
     #: Sets that are not connected with their key's first one are compared with all others of the key.
     root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
-    known = salted_join(led, root("node", "_r"), "node", F.col("key"), "left")
-    known = salted_join(known, root("hnode", "_h"), "hnode", F.col("node"), "left")
+    known = led.join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
     known = stored(known.select("key", "node", "n", "pos", "hnode", F.coalesce("_r", "node").alias("root"), F.coalesce("_h", "hnode").alias("hroot")), "shingle-known")
     apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
     again = apart.join(known, "key").where("root <> xroot and node <> hnode").where(_near(like, "x", "")).select(*order(F.col("xnode"), F.col("node"))).distinct()
@@ -287,7 +286,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     bits[candidates.select(F.col("rep").alias("doc_id")).mapInArrow(_filter_bits, "slot long").distinct().toArrow().column("slot").to_numpy()] = 1
     maybe = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     full = texts.mapInArrow(_full_sets(like, maybe), f"doc_id {kind}, node long, tokens array<long>")
-    full = full.join(candidates.select("node", F.col("rep").cast(kind).alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "tokens")
+    #: The filter lets some others through. Joined by node alone, the sets move once for the join and for repeated rows.
+    full = full.join(candidates.select("node", "rep"), "node").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"]).select("node", "tokens")
     full = stored(full, "shingle-full")
     parts = full.mapInArrow(_packed(shards, "tokens"), packed).groupBy("shard").applyInArrow(_by_node(shards), "part int, nodes binary, tokens binary, held binary")
     part_of = _part(F.col("node"), shards)
