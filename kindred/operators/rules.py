@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_country, norm_key
@@ -49,9 +49,32 @@ def matches(norm: DataFrame, rule: str) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
+def _flagged(norm: DataFrame, key: str, rules: list[str]) -> DataFrame:
+    """(rule, s1_id, target_id) of all rules' alternatives that compare this key, from one join on it.
+
+    The counts of equal targets are taken where the join needs the rows anyway: by this key, and within it by both.
+    """
+    other = "addr" if key == "name" else "name"
+    filled = (F.col("country") != "") & (F.col(key) != "")
+    one = norm.where("source = 1").where(filled).select(F.col("entity_id").alias("s1_id"), "country", key, F.col(other).alias("_mine"))
+    alone, both = Window.partitionBy("country", key), Window.partitionBy("country", key, other)
+    two = norm.where("source > 1").where(filled).select(F.col("entity_id").alias("target_id"), "country", key, F.col(other), F.count(F.lit(1)).over(alone).alias("_n"), F.count(F.lit(1)).over(both).alias("_both"))
+    holds = []
+    for rule in rules:
+        for keys, unique in RULES[rule]:
+            if keys == (key,):
+                holds.append(F.when((F.col("_n") == 1) if unique else F.lit(True), F.lit(rule)))
+            elif key == "name" and len(keys) == 2:
+                same = (F.col("_mine") == F.col(other)) & (F.col(other) != "")
+                holds.append(F.when(same & ((F.col("_both") == 1) if unique else F.lit(True)), F.lit(rule)))
+    pairs = one.join(two, ["country", key])
+    return pairs.select(F.explode(F.filter(F.array(*holds), lambda x: x.isNotNull())).alias("rule"), "s1_id", "target_id") if holds else pairs.select(F.lit("").alias("rule"), "s1_id", "target_id").limit(0)
+
+
 def all_matches(norm: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """(rule, s1_id, target_id) of several rules, for one job over all."""
-    return reduce(DataFrame.unionByName, [matches(norm, r).select(F.lit(r).alias("rule"), "s1_id", "target_id") for r in rules or RULES])
+    """(rule, s1_id, target_id) of several rules: two joins whatever their number, one by name and one by address."""
+    rules = rules or list(RULES)
+    return _flagged(norm, "name", rules).unionByName(_flagged(norm, "addr", rules)).distinct()
 
 
 def strongest(norm: DataFrame) -> DataFrame:
