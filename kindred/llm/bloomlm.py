@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +15,9 @@ from .text import mix, sliced, words_hashed
 
 #: A count c becomes 1 + floor(log(c) / log(GRADE)) entries; bits for each, and bits that are set for it.
 GRADE, BITS_EACH, PROBES = 1.3, 10, 5
-#: Word pairs are kept from this count on. Bits of the filter at most; beyond, the least count of pairs rises to fit.
-PAIR_COUNT, MOST_BITS = 2, 1 << 31
-#: Words of at least this part of all training tokens have their exact counts in the broadcast: 1 / HEAD words at most.
-HEAD = 1 / 20_000
 DISCOUNT = 0.5
+#: Bytes of text whose distinct words and pairs are counted and looked up together.
+TOGETHER = 8 << 20
 
 END = np.uint64(0xA5A5_5A5A_0F0F_F0F1)
 BEGIN = np.uint64(0x1234_5678_9ABC_DEF1)
@@ -81,80 +79,18 @@ def _sub_filter(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _gathered(shards: int):
-    """Counts of words (kind 1) and pairs (kind 2) of a task's text, packed by shard."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in sliced(batches, "text", 16 << 20):
-            words, at = tokens(texts)
-            for kind, hashes in ((1, words), (2, pairs(words, at))):
-                found, n = np.unique(hashes, return_counts=True)
-                n = n.astype("<u4")
-                edge = np.searchsorted(shard_of(found, shards), np.arange(shards + 1))
-                full = [s for s in range(shards) if edge[s] < edge[s + 1]]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "kind": pa.array([kind] * len(full), pa.int32()), "hashes": pa.array([found[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary()), "counts": pa.array([n[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary())})
-
-    return run
-
-
-def _summed(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.filter(pc.equal(table.column("kind"), kind))
-    hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), "<u8")
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-
-
-def _counted(key: tuple, table: pa.Table) -> pa.Table:
-    """A shard's exact counts: all words, and the pairs from PAIR_COUNT on; lost is the pairs' mass below and discounted."""
-    words, n = _summed(table, 1)
-    twos, m = _summed(table, 2)
-    kept = m >= PAIR_COUNT
-    lost = float(m[~kept].sum() + DISCOUNT * kept.sum())
-    grades = np.bincount(np.minimum(m[kept], 1 << 12), graded(m[kept]), (1 << 12) + 1) if kept.any() else np.zeros((1 << 12) + 1)
-    return pa.table({
-        "shard": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "word_counts": pa.array([n.tobytes()], pa.binary()),
-        "pairs": pa.array([twos[kept].tobytes()], pa.binary()), "pair_counts": pa.array([m[kept].tobytes()], pa.binary()),
-        "total": pa.array([int(n.sum())]), "distinct": pa.array([len(words)]), "ends": pa.array([int(n[words == END].sum())]), "lost": pa.array([lost]),
-        "word_grades": pa.array([int(graded(n).sum())]), "pair_grades": pa.array([grades.astype(np.int64).tobytes()], pa.binary()),
-    })
-
-
-_COUNTED = "shard int, words binary, word_counts binary, pairs binary, pair_counts binary, total long, distinct long, ends long, lost double, word_grades long, pair_grades binary"
-
-
-def _filtered(least: int, head: float):
-    """Each shard's filter, and its words that are common enough for exact counts on every worker."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
-                twos, m = np.frombuffer(row["pairs"], "<u8"), np.frombuffer(row["pair_counts"], "<i8")
-                keep, common = m >= least, n >= head
-                bits = _sub_filter(np.concatenate([words, twos[keep]]), np.concatenate([n, m[keep]]))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "heads": pa.array([words[common].tobytes()], pa.binary()), "head_counts": pa.array([n[common].tobytes()], pa.binary())})
-
-    return run
-
-
 class Filter:
-    """The shards' filters end to end, and the corpus totals."""
+    """The filters of shards end to end. What else a caller gives is not read."""
 
-    def __init__(self, shards: int, parts: dict[int, bytes], totals: tuple[int, int, int, float], heads: np.ndarray, head_counts: np.ndarray):
+    def __init__(self, shards: int, parts: dict[int, bytes], *_):
         self.shards = shards
         sizes = np.array([len(parts.get(s, b"\0" * 8)) for s in range(shards)], np.int64)
         self.bits = np.frombuffer(b"".join(parts.get(s, b"\0" * 8) for s in range(shards)), np.uint8)
         self.size = (sizes * 8).astype(np.uint64)
         self.start = (np.cumsum(sizes) - sizes) * 8
-        self.total, self.distinct, self.ends, self.lost = totals
-        order = np.argsort(heads)
-        self.heads, self.head_counts = heads[order], head_counts[order]
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Each n-gram's count as its grade tells it: grades are probed from 1 until one is missing."""
+    def grades(self, hashes: np.ndarray) -> np.ndarray:
+        """Each n-gram's grade: grades are probed from 1 until one is missing."""
         grade = np.zeros(len(hashes), np.int64)
         left = np.arange(len(hashes))
         shard = shard_of(hashes, self.shards)
@@ -171,127 +107,140 @@ class Filter:
                     break
             grade[alive] = g
             left = alive
-        return COUNT_OF[grade]
-
-    def scores(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of texts: discounted pairs, interpolated with words, these with a uniform share.
-
-        A context seen once leaves all its mass to the words, a common one what pairs lose on average.
-        """
-        ones, back = np.unique(words, return_inverse=True)
-        single = self.counts(ones)
-        twos, which = np.unique(pairs(words, at), return_inverse=True)
-        double = self.counts(twos)[which]
-        base = ((single + self.distinct / (self.distinct + 1)) / (self.total + self.distinct))[back]
-        context = np.empty(len(words))
-        context[1:] = single[back][:-1]
-        context[at[:-1]] = self.ends
-        rest = self.lost / max(1, self.total)
-        rest = rest + (1 - rest) / np.maximum(context, 1)
-        p = np.where(context > 0, np.maximum(double - DISCOUNT, 0) / np.maximum(context, 1) + rest * base, base)
-        logs = np.log10(np.minimum(p, 1.0))
-        return np.add.reduceat(logs, at[:-1])
+        return grade
 
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Each n-gram's count as its grade tells it."""
+        return COUNT_OF[self.grades(hashes)]
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Filter]:
-    """The exact counts by shard, stored, and the filter: sized by what it holds, MOST_BITS at most."""
-    shards = fan_out(docs.sparkSession)
-    rows = docs.where(~test_fold(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
-    packed = rows.mapInArrow(_gathered(shards), "shard int, kind int, hashes binary, counts binary")
-    counted = stored(packed.groupBy("shard").applyInArrow(_counted, _COUNTED), "lm-counts")
-    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "ends", "lost", "word_grades")]).first()
-    least = PAIR_COUNT
-    room = MOST_BITS / BITS_EACH - sums["word_grades"]
-    grades = np.zeros((1 << 12) + 1)
-    for r in counted.select("pair_grades").toLocalIterator():
-        grades += np.frombuffer(r["pair_grades"], "<i8")
-    while least < 1 << 12 and grades[least:].sum() > room:
-        least += 1
-    found = counted.mapInArrow(_filtered(least, max(1.0, sums["total"] * HEAD)), "shard int, bits binary, heads binary, head_counts binary").toArrow().to_pylist()
-    heads = np.frombuffer(b"".join(r["heads"] for r in found), "<u8")
-    head_counts = np.frombuffer(b"".join(r["head_counts"] for r in found), "<i8")
-    return counted, Filter(shards, {r["shard"]: r["bits"] for r in found}, (int(sums["total"]), int(sums["distinct"]), int(sums["ends"]), float(sums["lost"])), heads, head_counts)
-
-
-def _scored(shared):
-    """Of each document what needs no exact count of a rare word; the rare words, packed by shard for that."""
+
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, about TOGETHER bytes of them in a row, which their first one's number names."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch, texts in sliced(batches, "text", TOGETHER):
+        one = pa.array([0, len(texts)], pa.int32())
+        lists = {k: pa.ListArray.from_arrays(one, batch.column(k)) for k in ("doc_id", "held_out")}
+        lengths = np.array([len(t) for t in texts], "<i8")
+        yield pa.RecordBatch.from_pydict({"slice": batch.column("row").slice(0, 1), **lists, "lengths": pa.array([lengths.tobytes()], pa.binary()), "packed": pa.array([pack(b"".join(texts))], pa.binary())})
+
+
+def _unpacked(lengths: bytes, packed: bytes) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _asked(shards: int):
+    """A slice's distinct words and pairs by shard, with their counts in its training documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Filter = shared.value
-        floor = 0.1 * (model.distinct + 1) + model.total
-        for batch, texts in sliced(batches, "text", 4 << 20):
-            words, at = tokens(texts)
-            owner = np.repeat(np.arange(len(texts)), np.diff(at))
-            place = np.minimum(np.searchsorted(model.heads, words), max(0, len(model.heads) - 1))
-            common = model.heads[place] == words if len(model.heads) else np.zeros(len(words), bool)
-            logs = np.log10((model.head_counts[place[common]] + 0.1) / floor)
-            rows = batch.column("row").to_numpy()
-            out = {
-                "row": pa.array(rows), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.diff(at)),
-                "known": pa.array(np.bincount(owner[common], minlength=len(texts)).astype(np.int64)), "base": pa.array(np.bincount(owner[common], logs, len(texts))),
-                "score": pa.array(model.scores(words, at)), "shard": pa.nulls(len(texts), pa.int32()), "rows": pa.nulls(len(texts), pa.binary()), "hashes": pa.nulls(len(texts), pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict(out)
-            rare, whose = words[~common], rows[owner[~common]]
-            order = np.argsort(shard_of(rare, model.shards), kind="stable")
-            rare, whose = rare[order], whose[order]
-            edge = np.searchsorted(shard_of(rare, model.shards), np.arange(model.shards + 1))
-            full = [s for s in range(model.shards) if edge[s] < edge[s + 1]]
-            n = len(full)
-            none = {k: pa.nulls(n, v.type) for k, v in out.items()}
-            yield pa.RecordBatch.from_pydict(none | {"shard": pa.array(full, pa.int32()), "rows": pa.array([whose[edge[s] : edge[s + 1]].astype("<i8").tobytes() for s in full], pa.binary()), "hashes": pa.array([rare[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary())})
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, at = tokens(_unpacked(row["lengths"], row["packed"]))
+                train = np.repeat(~np.array(row["held_out"], bool), np.diff(at))
+                out: dict[str, pa.Array] = {"slice": pa.array([row["slice"]] * shards, pa.int64()), "shard": pa.array(np.arange(shards), pa.int32())}
+                some = np.zeros(shards, bool)
+                for name, hashes in (("words", words), ("pairs", pairs(words, at))):
+                    #: Distinct hashes are sorted, so they are also in the order of their shards.
+                    found, n = np.unique(hashes, return_counts=True)
+                    if not train.all():
+                        seen, k = np.unique(hashes[train], return_counts=True)
+                        n = np.zeros(len(found), np.int64)
+                        n[np.searchsorted(found, seen)] = k
+                    edge = np.searchsorted(shard_of(found, shards), np.arange(shards + 1))
+                    n = n.astype("<u4")
+                    some |= edge[1:] > edge[:-1]
+                    out[name] = pa.array([found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                    out[f"{name}_n"] = pa.array([n[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict(out).filter(pa.array(some))
 
     return run
 
 
-def _looked_up(total: int, distinct: int, shards: int):
-    """Exact counts of a shard's rare words, summed for each document and packed by the documents' shards."""
-
-    def run(key: tuple, asked: pa.Table, counted: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(counted.column("words").to_pylist()), "<u8")
-        n = np.frombuffer(b"".join(counted.column("word_counts").to_pylist()), "<i8")
-        hashes = np.frombuffer(b"".join(asked.column("hashes").to_pylist()), "<u8")
-        rows = np.frombuffer(b"".join(asked.column("rows").to_pylist()), "<i8")
-        c = np.zeros(len(hashes), np.int64)
-        if len(words) and len(hashes):
-            at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-            c = np.where(words[at] == hashes, n[at], 0)
-        logs = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        found, back = np.unique(rows, return_inverse=True)
-        known, base = np.bincount(back, c > 0, len(found)).astype(np.int32), np.bincount(back, logs, len(found))
-        home = shard_of(mix(found.view(np.uint64)), shards)
-        order = np.argsort(home, kind="stable")
-        edge = np.searchsorted(home[order], np.arange(shards + 1))
-        full = [s for s in range(shards) if edge[s] < edge[s + 1]]
-        return pa.table({"home": pa.array(full, pa.int32()), **{k: pa.array([v[order[edge[s] : edge[s + 1]]].tobytes() for s in full], pa.binary()) for k, v in (("rows", found), ("known", known), ("base", base))}})
+def _answered(key: tuple, table: pa.Table) -> pa.Table:
+    """A shard's exact counts make its filter; each slice gets its words' exact counts and the grades by the filter.
+
+    A row without a slice has the shard's part of the corpus totals.
+    """
+    hashes, back, n, sizes = {}, {}, {}, {}
+    for name in ("words", "pairs"):
+        blobs = table.column(name).to_pylist()
+        sizes[name] = np.cumsum([0] + [len(b) // 8 for b in blobs])
+        hashes[name], back[name] = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)
+        counts = np.frombuffer(b"".join(table.column(f"{name}_n").to_pylist()), "<u4")
+        n[name] = np.bincount(back[name], counts, len(hashes[name])).astype(np.int64)
+    every, times = np.concatenate([hashes["words"], hashes["pairs"]]), np.concatenate([n["words"], n["pairs"]])
+    model = Filter(1, {0: _sub_filter(every[times > 0], times[times > 0]).tobytes()})
+    grade = {k: model.grades(h).astype(np.uint8) for k, h in hashes.items()}
+    shard = key[0].as_py()
+    cut = lambda values, name: [*(x.tobytes() for x in np.split(values[back[name]], sizes[name][1:-1])), None]
+    rows = table.num_rows
+    once = lambda x: pa.array([None] * rows + [int(x)], pa.int64())
+    return pa.table({
+        "slice": pa.array([*table.column("slice").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (rows + 1), pa.int32()),
+        "exact": pa.array(cut(n["words"], "words"), pa.binary()), "word_grades": pa.array(cut(grade["words"], "words"), pa.binary()), "pair_grades": pa.array(cut(grade["pairs"], "pairs"), pa.binary()),
+        "total": once(n["words"].sum()), "distinct": once((n["words"] > 0).sum()), "pairs": once((n["pairs"] > 0).sum()), "ends": once(n["words"][hashes["words"] == END].sum()),
+    })
 
-    return run
 
+_ANSWERED = "slice long, shard int, exact binary, word_grades binary, pair_grades binary, total long, distinct long, pairs long, ends long"
+TOTALS = ("total", "distinct", "pairs", "ends")
 
-def _summed_up(key: tuple, table: pa.Table) -> pa.Table:
-    rows, known, base = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("rows", np.int64), ("known", np.int32), ("base", np.float64)))
-    found, back = np.unique(rows, return_inverse=True)
-    return pa.table({"row": pa.array(found), "rare_known": pa.array(np.bincount(back, known, len(found)).astype(np.int64)), "rare_base": pa.array(np.bincount(back, base, len(found)))})
+
+def backed_off(context: np.ndarray, total: int, distinct: int, kinds: int) -> np.ndarray:
+    """The share of contexts of these counts that their pairs lose and the words get.
+
+    A context seen once loses DISCOUNT, others tend to one share; it is such that all training contexts together, which
+    are `distinct`, lose DISCOUNT for each of the `kinds` pairs.
+    """
+    often = DISCOUNT * (kinds - distinct) / max(1, total - distinct)
+    return often + (DISCOUNT - often) / np.maximum(context, 1)
+
+
+def _scored(totals: tuple[int, int, int, int]):
+    """Log10 probabilities of a slice's documents: discounted pairs, interpolated with words, these with a uniform share."""
+    total, distinct, kinds, ends = totals
+
+    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row = docs.select(["lengths", "packed"]).to_pylist()[0]
+        words, at = tokens(_unpacked(row["lengths"], row["packed"]))
+        answers = answers.sort_by("shard")
+        told = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+        back = np.unique(words, return_inverse=True)[1]
+        exact = told("exact", "<i8")
+        single = COUNT_OF[told("word_grades", np.uint8)]
+        double = COUNT_OF[told("pair_grades", np.uint8)][np.unique(pairs(words, at), return_inverse=True)[1]]
+        context = np.empty(len(words))
+        context[1:] = single[back][:-1]
+        context[at[:-1]] = ends
+        base = ((single + distinct / (distinct + 1)) / (total + distinct))[back] if total else np.ones(len(words))
+        p = np.where(context > 0, np.maximum(double - DISCOUNT, 0) / np.maximum(context, 1) + backed_off(context, total, distinct, kinds) * base, base)
+        sums = lambda x: np.add.reduceat(x, at[:-1])
+        return pa.table({
+            "doc_id": docs.column("doc_id").combine_chunks().flatten(), "held_out": docs.column("held_out").combine_chunks().flatten(), "n_tokens": pa.array(np.diff(at)),
+            "n_known": pa.array(sums((exact > 0).astype(np.int64)[back])), "train_tokens": pa.array(np.full(len(at) - 1, total, np.int64)),
+            "base_score": pa.array(sums(np.log10((exact + 0.1) / (total + 0.1 * (distinct + 1)))[back])), "score": pa.array(sums(np.log10(np.minimum(p, 1.0)))),
+        })
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
-    score is the log10 probability by the filter's counts, base_score the one by exact counts of single tokens. Null
-    and empty texts are the end alone; repeated rows are documents of their own; null doc_ids are trained on. Words are
-    told apart by 64-bit hashes. Without training texts N and V are 0. Other columns are not read.
+    score is the log10 probability by the filter's counts, base_score the one by exact counts of single tokens. All
+    words and pairs are in the filter, whatever their number: each shard of hashes has a filter of its own, and slices
+    of documents ask the shards. Null and empty texts are the end alone; repeated rows are documents of their own; null
+    doc_ids are trained on. Words are told apart by 64-bit hashes. Without training texts N and V are 0. Other columns
+    are not read.
     """
-    counted, model = learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shards = fan_out(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", test_fold(F.col("doc_id")).alias("held_out"), "text")
-    made = stored(rows.mapInArrow(_scored(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, shard int, rows binary, hashes binary"), "lm-rows")
-    asked = made.where("shard is not null").select("shard", "rows", "hashes")
-    rare = asked.groupBy("shard").cogroup(counted.select("shard", "words", "word_counts").groupBy("shard")).applyInArrow(_looked_up(model.total, model.distinct, model.shards), "home int, rows binary, known binary, base binary")
-    rare = rare.groupBy("home").applyInArrow(_summed_up, "row long, rare_known long, rare_base double")
-    whole = made.where("shard is null").drop("shard", "rows", "hashes").join(rare, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    slices = stored(rows.mapInArrow(_sliced, f"slice long, doc_id array<{kind}>, held_out array<boolean>, lengths binary, packed binary"), "lm-slices")
+    asked = slices.select("slice", "held_out", "lengths", "packed").mapInArrow(_asked(shards), "slice long, shard int, words binary, words_n binary, pairs binary, pairs_n binary")
+    answers = stored(asked.groupBy("shard").applyInArrow(_answered, _ANSWERED), "lm-answers")
+    sums = answers.where("slice is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
+    told = answers.where("slice is not null").select("slice", "shard", "exact", "word_grades", "pair_grades")
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scored(tuple(int(sums[c]) for c in TOTALS)), out)

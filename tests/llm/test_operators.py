@@ -572,6 +572,33 @@ def test_bloom_lm_of_odd_rows(odd, wide, none):
     assert len(found) == len(ROWS) and by[3].n_tokens == by[4].n_tokens == 1 and all(math.isfinite(r.score) and r.score <= 0 for r in found)
 
 
+def test_bloom_lm_keeps_every_pair(spark):
+    """Also pairs that occur once count, and what they lose is what the words get. Few of the filter's answers are wrong."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(1, 8)))) for i in range(400)]
+    texts = {i: [*words(t), "\0"] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    ones = Counter(w for i, t in texts.items() if not held[i] for w in t)
+    twos = Counter(p for i, t in texts.items() if not held[i] for p in zip([None, *t], t, strict=False))
+    n, v, starts = sum(ones.values()), len(ones), sum(not h for h in held.values())
+    assert min(twos.values()) == 1
+    contexts = np.array([starts, *(c for w, c in ones.items() if w != "\0")])
+    assert contexts.sum() == n and (contexts * bloomlm.backed_off(contexts, n, v, len(twos))).sum() == pytest.approx(bloomlm.DISCOUNT * len(twos))
+    near = lambda c: bloomlm.COUNT_OF[bloomlm.graded(np.array([c]))[0]] if c else 0.0
+
+    def plain(t):
+        total = 0.0
+        for a, b in zip([None, *t], t, strict=False):
+            context, base = near(ones[a]) if a else starts, (near(ones[b]) + v / (v + 1)) / (n + v)
+            rest = float(bloomlm.backed_off(np.array([context]), n, v, len(twos))[0])
+            total += math.log10(min(1.0, max(near(twos[a, b]) - bloomlm.DISCOUNT, 0) / max(context, 1) + rest * base if context else base))
+        return total
+
+    found = by_id(bloomlm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    close = [math.isclose(found[i].score, plain(t), rel_tol=1e-9) for i, t in texts.items()]
+    assert np.mean(close) > 0.7
+
+
 def test_queries_are_complete():
     from kindred.llm.queries import QUERIES
 
