@@ -30,19 +30,27 @@ RANGE, BLOCK = 1 << 20, 2 << 20
 
 def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """(text, first string's start, strings, seed, content hash) of each context of all texts."""
-    spots = width - GRAM + 1
-    jobs, at, size = [], [], 0
+    found, jobs, size = [], [], 0
     for i, t in enumerate(texts):
         for s in range(0, max(0, len(t) - width + 1), RANGE):
-            part = t[s : s + RANGE + width - 1]
-            jobs.append((i, s, part))
-            at.append(size)
-            size += len(part)
-    if not jobs:
+            jobs.append((i, s, t[s : s + RANGE + width - 1]))
+            size += len(jobs[-1][2])
+            if size >= RANGE:
+                found.append(_contexts(jobs, width))
+                jobs, size = [], 0
+    if jobs:
+        found.append(_contexts(jobs, width))
+    if not found:
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _contexts(jobs: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, ...]:
+    """contexts of (text, first string's start, bytes), together at most two RANGEs and two widths: 24 bits hold a place."""
+    spots = width - GRAM + 1
     buf = np.frombuffer(b"".join(j[2] for j in jobs), np.uint8)
-    start = np.array(at, np.int64)
     length = np.array([len(j[2]) for j in jobs], np.int64)
+    start = np.cumsum(length) - length
     up, down = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])

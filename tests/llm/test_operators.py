@@ -126,6 +126,20 @@ def test_repeats_across_ranges(spark, monkeypatch):
     assert [tuple(r[1:5]) for r in repeats.remove_repeats(df).orderBy("doc_id").collect()] == plain_repeats(rows)
 
 
+def test_repeats_far_into_a_long_text(spark):
+    """Places beyond 2^24 in what is looked at together."""
+    x = bytes(np.random.default_rng(0).integers(97, 123, (1 << 24) + 5000).astype(np.uint8))
+    at = (1 << 24) + 1000
+    text, offset, times, seed, content = repeats.contexts([x[:3000], x])
+    far = (text == 1) & (offset >= at)
+    tail = repeats.contexts([x[at:]])
+    assert set(zip(seed[far].tolist(), content[far].tolist(), strict=True)) >= set(zip(tail[3][1:].tolist(), tail[4][1:].tolist(), strict=True))
+    assert times[text == 1].sum() == len(x) - 99
+    df = spark.createDataFrame([(1, x.decode()), (2, "#" + x[at : at + 300].decode() + "#"), (3, x[5000:5300].decode())], "doc_id long, text string")
+    found = by_id(repeats.remove_repeats(df).collect())
+    assert [tuple(found[i][1:4]) for i in (1, 2, 3)] == [(len(x), 0, 0), (302, 300, 1), (300, 300, 1)]
+
+
 # 2
 
 
