@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("entity_id", "business_name", "business_address", "country")
@@ -79,10 +79,16 @@ def entities_of(records: DataFrame) -> DataFrame:
     return records.where("source = 1")
 
 
+def _padded(key: str) -> Column:
+    """The key with zeros up to seven digits; lpad alone would cut longer ones."""
+    digits = F.col(key).cast("string")
+    return F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
+
+
 def _adapted(df: DataFrame, key: str, name, address, country) -> DataFrame:
     source = (F.col(key) % 3 + 1).cast("int")
     return df.select(
-        F.concat(F.lit("S"), source, F.lit("-"), F.lpad(F.col(key).cast("string"), 7, "0")).alias("entity_id"), source.alias("source"),
+        F.concat(F.lit("S"), source, F.lit("-"), _padded(key)).alias("entity_id"), source.alias("source"),
         (source.cast("long") * SOURCE_STEP + F.col(key)).alias("ord"), *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((name, "business_name"), (address, "business_address"), (country, "country"))],
     )
 
@@ -96,7 +102,7 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known links of the parts: one name and one brand, in any country."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
-    ident = F.concat(F.lit("S"), (F.col("p_partkey") % 3 + 1).cast("int"), F.lit("-"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"))
+    ident = F.concat(F.lit("S"), (F.col("p_partkey") % 3 + 1).cast("int"), F.lit("-"), _padded("p_partkey"))
     one = df.where("p_partkey % 3 = 0").select("p_name", "p_brand", ident.alias("s1_id"))
     two = df.where("p_partkey % 3 <> 0").select("p_name", "p_brand", ident.alias("target_id"))
     return one.join(two, ["p_name", "p_brand"]).select("s1_id", "target_id")

@@ -252,3 +252,17 @@ def test_streamed_entities_are_linked(spark, tmp_path):
     q.awaitTermination(60)
     found = spark.read.parquet(str(tmp_path / "out"))
     assert {(x.s1_id, x.target_id) for x in found.collect()} == {("S1-1", "S3-3")}
+
+
+def test_long_keys_stay_apart(spark, tmp_path):
+    """Keys of eight digits and more, in records and in known links."""
+    keys = [5, 10_000_000, 10_000_003, 10_000_006, 1_000_000_000]
+    same = [(k, "bolt", "b", 1, "t") for k in keys] + [(10_000_002, "bolt", "b", 1, "t"), (10_000_005, "bolt", "b", 1, "t")]
+    spark.createDataFrame(same, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = [r[0] for r in rec.part_records(spark, str(tmp_path)).select("entity_id").collect()]
+    links = [tuple(r) for r in rec.part_truth(spark, str(tmp_path)).collect()]
+    ids = {k % 3 + 1: [] for k, *_ in same}
+    for k, *_ in same:
+        ids[k % 3 + 1].append(f"S{k % 3 + 1}-{k:07d}")
+    assert sorted(found) == sorted(x for xs in ids.values() for x in xs)
+    assert sorted(links) == sorted((a, b) for a in ids.get(1, []) for s in (2, 3) for b in ids.get(s, []))
