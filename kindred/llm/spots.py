@@ -97,6 +97,14 @@ def likeness(one: bytes, two: bytes) -> float:
     return min(float(again[: max(0, end - 1)].sum() / min(KEPT, union)), min(n, m) / max(n, m))
 
 
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    """The Jaccard index of two whole sets of sorted distinct signatures. Two empty sets are alike."""
+    if not len(one) or not len(two):
+        return float(len(one) == len(two))
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return common / (len(one) + len(two) - common)
+
+
 def shown(sketch: bytes) -> str:
     return base64.b64encode(sketch).decode()
 
@@ -154,7 +162,12 @@ def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal size
         changed = sketches([d[2] for d in done])
-        rows = [(d[0], d[1], hashlib.sha256(d[2]).hexdigest(), shown(d[3]), shown(c), likeness(d[3], c), likeness(d[3], d[4])) for d, c in zip(done, changed, strict=True)]
+        sets = lambda texts: (lambda found, ends: [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])(*signatures(texts))
+        mine, edited = sets([d[4] for d in done]), sets([d[2] for d in done])
+        #: The document that follows is mostly the next one here.
+        last = [k for k, d in enumerate(done) if k + 1 == len(done) or d[5] is not done[k + 1][4]]
+        after = dict(enumerate(mine[1:])) | dict(zip(last, sets([done[k][5] for k in last]), strict=True))
+        rows = [(d[0], d[1], hashlib.sha256(d[2]).hexdigest(), shown(d[3]), shown(c), jaccard(mine[k], edited[k]), jaccard(mine[k], after[k])) for k, (d, c) in enumerate(zip(done, changed, strict=True))]
         done.clear()
         size = 0
         kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -168,16 +181,17 @@ def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, ahead, doc_id, sketch, packed in zip(*columns, strict=True):
             if held is None and ahead:
                 continue
-            text = unpack(packed).decode("utf-8", "replace") if packed else ""
+            raw = unpack(packed) if packed else b""
+            text = raw.decode("utf-8", "replace")
             if held is not None:
                 mine = held[2]
                 cut = len(mine) // 2
                 edited = (mine[: len(mine) - cut] + text[:cut]).encode()
-                done.append((held[1], len(mine), edited, held[3], sketch))
+                done.append((held[1], len(mine), edited, held[3], held[4], raw))
                 size += len(edited)
                 if size > 1 << 20:
                     yield flush()
-            held = None if ahead else (bucket, doc_id, text, sketch)
+            held = None if ahead else (bucket, doc_id, text, sketch, raw)
     if done:
         yield flush()
 
@@ -188,7 +202,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The next document is the one of the next smaller doc_id, after the smallest the largest; repeated doc_ids follow
     each other in the order of their signatures, null ones come last. Null text counts as empty. Documents are dealt to
     buckets of neighbouring doc_ids, each with a copy of the one that follows its last; texts travel packed.
-    A fingerprint is the number of signatures and the KEPT smallest, in base64. Other columns are not read.
+    A fingerprint is the number of signatures and the KEPT smallest, in base64; near_edited and near_next are the Jaccard
+    index of the whole signature sets. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id")

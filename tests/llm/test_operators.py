@@ -386,6 +386,18 @@ def test_fingerprint_edits(documents):
     assert np.mean([r.near_edited for r in found]) > 5 * np.mean([r.near_next for r in found])
 
 
+def test_near_edited_and_near_next_are_of_whole_sets(spark):
+    """Long texts, of more signatures than a fingerprint keeps, in several buckets."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"the w{x} v{y}" for x, y in rng.integers(0, 40, (n, 2))) for n in (900, 800, 3, 1200, 700, 950, 600, 0)]
+    found = by_id(spots.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    plain = lambda a, b: (lambda x, y: len(x & y) / len(x | y) if x | y else 1.0)(*(set(spots.signatures([t.encode()])[0].tolist()) for t in (a, b)))
+    for i, t in enumerate(texts):
+        other, cut = texts[i - 1], len(t) // 2
+        assert found[i].near_edited == pytest.approx(plain(t, t[: len(t) - cut] + other[:cut]), rel=1e-12)
+        assert found[i].near_next == pytest.approx(plain(t, other), rel=1e-12)
+
+
 def test_likeness_is_exact_for_small_sets_and_near_for_large_ones():
     a, b = b"the cat sat of dogs run", b"the cat sat of birds fly"
     x, y = (set(spots.signatures([t])[0].tolist()) for t in (a, b))
