@@ -1,22 +1,25 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-The tokens are a text's shingles. In any order of all tokens, two sets that overlap in at least o tokens share k of the
-first n - o + k of each. Three filters use this, each exact:
-
-1. In hash order, a set whose extended prefix has too few tokens that another prefix has too is linked with nothing.
-2. For the others, tokens are ordered by how many sets hold them. Rare tokens of a prefix are indexed alone, frequent
-   ones by pairs, so that common passages alone make no candidates; positions and sizes bound the overlap.
+The tokens are a text's shingles, in the order of their hashes. Two sets that overlap in at least o tokens share k of
+the first n - o + k of each. Every filter below is exact:
+
+1. Each set is indexed under the n - o + k tokens of its extended prefix. A token that few sets hold is a key alone; the
+   others are frequent. Sets of a rare key make pairs, and a pair stays if its rare tokens and the frequent ones that
+   either set holds can be k together.
+2. Only sets with k frequent tokens in their prefixes can be linked without a rare one. Their prefixes are extended to
+   the whole set, and its tokens fall into classes by hash. A key is the combination of all tokens of a class. Linked
+   sets differ in fewer tokens than there are classes, so some class has one combination in both.
 3. Candidates are verified on whole sets.
 
-Sets that share a key are compared with one of them first; only those that are not yet connected with it are then
-compared with the others. So a group of near copies costs about as many comparisons as it has members, and still no
-component is missed.
+Sets that share a combination are compared with one of them first; only those that are not yet connected with it are
+then compared with others, unless their distances from it, which is a metric, rule that out. So a group of near copies
+costs about as many comparisons as it has members, and still no component is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloomlm import shard_of
 from .graph import components, salted_join
-from .session import fan_out, numbered, stored
+from .session import forget, numbered, stored
 from .text import mix, sliced, words_hashed
 
-#: Sets that hold a frequent token at least; sets from LONG tokens on index frequent ones alone too, as pairs would be many.
-FREQUENT, LONG = 64, 400
-#: Bits of the filter that tells which documents may be candidates; others are skipped in the second reading.
-CANDIDATE_BITS = 1 << 25
+#: Sets that hold a frequent token at least. Rare tokens make at most FREQUENT * (FREQUENT - 1) / 2 pairs.
+FREQUENT = 8
+#: Bits of the filter that tells which rows are read again.
+WANTED_BITS = 1 << 25
+#: Bits of a token by which it is indexed; whole tokens are compared when sets are verified.
+TOKEN = np.uint64((1 << 48) - 1)
+
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -42,24 +48,36 @@ class Likeness:
     words: int = 5
     percent: int = 80
 
-    def overlap(self, n: np.ndarray) -> np.ndarray:
-        """The least overlap of a set of n with any set that it is linked with."""
+    def overlap(self, n):
+        """The least overlap of a set of n with any set that it is linked with; also the least size of such a set."""
         return -(-self.percent * n // 100)
 
     def extra(self, n: np.ndarray) -> np.ndarray:
-        """k of the first filter, about a twentieth of the set."""
+        """k of the extended prefix, about a twentieth of the set."""
         return np.minimum(n // 20 + 1, self.overlap(n))
 
-    def least_shared(self, n: np.ndarray) -> np.ndarray:
-        """The least k of any set that a set of n can be linked with: the smallest is percent of n."""
-        return self.extra(self.overlap(n))
+    def least_shared(self, n: Column) -> Column:
+        """The least k of any set that a set of n can be linked with."""
+        up = lambda x: F.ceil(x * F.lit(self.percent) / 100 - 1e-9)
+        return F.least(F.floor(up(n) / 20) + 1, up(up(n)))
+
+    def possible(self, n: Column, m: Column) -> Column:
+        """Whether sets of n and m tokens can be linked at all."""
+        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
     def holds(self, common: Column, n: Column, m: Column) -> Column:
         return common * 100 >= (n + m - common) * self.percent
 
-    def possible(self, n: Column, m: Column) -> Column:
-        """The least overlap of two sets of n and m tokens in a link."""
-        return F.ceil((n + m) * F.lit(self.percent) / F.lit(100 + self.percent) - 1e-9)
+    def grid(self, most: int) -> np.ndarray:
+        """Sizes at which a new number of classes begins to serve: up to each one, that level's."""
+        steps = [1]
+        while steps[-1] < most:
+            steps.append(max(steps[-1] + 1, int(steps[-1] * 1.42)))
+        return np.array(steps, np.int64)
+
+    def differences(self, least: np.ndarray) -> np.ndarray:
+        """Tokens that are in one of two linked sets only, at most, if the smaller set has `least`."""
+        return least * (100 - self.percent) // self.percent
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -68,7 +86,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     n = len(hashes) - words + 1
     roll = np.zeros(max(0, n), np.uint64)
     for k in range(words):
-        roll = mix(roll * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + max(0, n)])
+        roll = mix(roll * _SEED + hashes[k : k + max(0, n)])
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= words:
@@ -80,184 +98,232 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that tell sets apart."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(a) for a in arrays])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)).view(np.int64)))
 
 
-def _prefixed(like: Likeness):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "text", 2 << 20):
-            sets = shingle_sets(texts, like.words)
-            n = np.array([len(s) for s in sets], np.int64)
-            length = n - like.overlap(n) + like.extra(n)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "node": pa.array([set_key(s) for s in sets], pa.int64()), "prefix": _lists([s[:p] for s, p in zip(sets, length.tolist(), strict=True)])})
+SetsOf = Callable[[list[bytes]], list[np.ndarray]]
 
-    return run
 
+def prefixes(like: Likeness, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Each set's extended prefix, as tokens of the index."""
+    n = np.array([len(s) for s in sets], np.int64)
+    length = n - like.overlap(n) + like.extra(n)
+    return [s[:p] & TOKEN for s, p in zip(sets, length.tolist(), strict=True)]
 
-def _packed(shards: int, column: str):
-    """Rows (node, tokens) as (shard, nodes, tokens). Prefixes hold least hashes, so tokens are hashed again for a shard."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(column)
-            tokens = lists.flatten().to_numpy().view(np.uint64)
-            nodes = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            shard = shard_of(mix(tokens), shards)
-            order = np.argsort(shard, kind="stable")
-            tokens, nodes = tokens[order], nodes[order]
-            edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            full = [s for s in range(shards) if edge[s] < edge[s + 1]]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "nodes": pa.array([nodes[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary()), "tokens": pa.array([tokens[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary())})
-
-    return run
 
+def combinations(like: Likeness, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The keys of each set's combinations: of all tokens of a class, for each number of classes that a link may need.
 
-def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, token, sets that hold it) of a shard's tokens that at least two sets hold."""
-    tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-    order = np.argsort(tokens, kind="stable")
-    tokens, nodes = tokens[order], nodes[order]
-    first = np.append(True, tokens[1:] != tokens[:-1])
-    times = np.diff(np.append(np.flatnonzero(first), len(tokens)))
-    held = times[np.cumsum(first) - 1]
-    keep = held > 1
-    return nodes[keep], tokens[keep], held[keep]
-
-
-def _by_home(nodes: np.ndarray, columns: dict[str, np.ndarray], shards: int, name: str) -> pa.Table:
-    """Columns packed by the shard of their nodes."""
-    home = shard_of(mix(nodes.view(np.uint64)), shards)
-    order = np.argsort(home, kind="stable")
-    edge = np.searchsorted(home[order], np.arange(shards + 1))
-    full = [s for s in range(shards) if edge[s] < edge[s + 1]]
-    return pa.table({name: pa.array(full, pa.int32()), **{k: pa.array([v[order[edge[s] : edge[s + 1]]].tobytes() for s in full], pa.binary()) for k, v in columns.items()}})
+    A linked pair uses the classes that the smaller set's size asks for. They are some more than the pair can differ in,
+    so that classes which are empty in both sets cannot be all that agree; a set with too many empty ones, which is
+    hardly ever, has the tokens of its prefix as further keys, which hold among such sets only.
+    """
+    if not sets:
+        return []
+    grid = like.grid(max(len(s) for s in sets))
+    of, level = [], []
+    for i, s in enumerate(sets):
+        if len(s):
+            first, last = np.searchsorted(grid, [like.overlap(len(s)), len(s)])
+            of += [i] * (last - first + 1)
+            level += range(first, last + 1)
+    of, level = np.array(of, np.int64), np.array(level, np.int64)
+    most = like.differences(grid[level])
+    spare = most // 4 + 2
+    classes = most + 1 + spare
+    n = np.array([len(sets[i]) for i in of], np.int64)
+    tokens = np.concatenate([sets[i] for i in of])
+    job = np.repeat(np.arange(len(of)), n)
+    salted = mix(tokens ^ (level.astype(np.uint64) * _SEED + np.uint64(1))[job])
+    chosen = ((salted >> np.uint64(32)) * classes.astype(np.uint64)[job] >> np.uint64(32)).astype(np.int64)
+    begin = np.cumsum(classes) - classes
+    place = begin[job] + chosen
+    rank = np.argsort(place, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(place[rank]) != 0))
+    sums = np.add.reduceat(mix(tokens * _SEED + np.uint64(7))[rank], edge)
+    full = place[rank][edge]
+    owner = job[rank][edge]
+    keys = mix(sums + mix((level[owner] << 40 | (full - begin[owner])).astype(np.uint64)))
+    empty = classes - np.bincount(owner, minlength=len(of))
+    ends = np.searchsorted(owner, np.arange(len(of) + 1))
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    for j, i in enumerate(of.tolist()):
+        out[i].append(keys[ends[j] : ends[j + 1]])
+        if empty[j] > spare[j]:
+            out[i].append(mix(sets[i][: len(sets[i]) - like.overlap(len(sets[i])) + 1] ^ np.uint64(0x5EED)))
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def _made(sets_of: SetsOf, of: Callable[[list[np.ndarray]], list[np.ndarray]] | None, wanted=None):
+    """Rows (u, doc_id) with the sets of their texts: their sizes, two keys and, as `tokens`, what `of` makes of them.
+
+    wanted: a filter of u; equal sets of a slice are told once.
+    """
 
+    def told(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        sets = sets_of(texts)
+        one, two = set_keys(sets)
+        out = {c: part.column(c) for c in part.schema.names if c != "text"} | {"n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array(one, pa.int64()), "h2": pa.array(two, pa.int64())}
+        if of is None:
+            return pa.RecordBatch.from_pydict(out)
+        keep = np.sort(np.unique(np.column_stack([one, two]), axis=0, return_index=True)[1])
+        keep = keep[[len(sets[i]) > 0 for i in keep.tolist()]] if len(keep) else keep
+        found = pa.RecordBatch.from_pydict(out).take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([*found.columns, lists(of([sets[i] for i in keep.tolist()]))], [*found.schema.names, "tokens"])
 
-def _count_shared(shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, n = np.unique(_shared(table)[0], return_counts=True)
-        return _by_home(nodes, {"nodes": nodes, "shared": n.astype(np.int32)}, shards, "home")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(_filtered(batches, wanted), "text", 2 << 20):
+            yield told(part, texts)
 
     return run
 
 
-def _sum_shared(key: tuple, table: pa.Table) -> pa.Table:
-    nodes, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("shared", np.int32)))
-    found, back = np.unique(nodes, return_inverse=True)
-    return pa.table({"node": pa.array(found, pa.int64()), "shared": pa.array(np.bincount(back, n, len(found)).astype(np.int64))})
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(WANTED_BITS)).astype(np.int64)
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(CANDIDATE_BITS)).astype(np.int64)
+def _filtered(batches: Iterable[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    if wanted is None:
+        yield from batches
+        return
+    bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).view(bool)
+    for batch in batches:
+        batch = batch.filter(pa.array(bits[_slots(batch.column("u").to_numpy())]))
+        if batch.num_rows:
+            yield batch
 
 
-def _filter_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots = [_slots(b.column("doc_id").to_numpy()) for b in batches if b.num_rows]
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int64), pa.int64())})
+_BLOCK = 1 << 15
 
 
-def _full_sets(like: Likeness, shared):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-        for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(maybe[_slots(ids.fill_null(0).to_numpy())] & ids.is_valid().to_numpy(zero_copy_only=False)))
-            for part, texts in sliced([batch], "text", 2 << 20):
-                sets = shingle_sets(texts, like.words)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "tokens": _lists(sets)})
+def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.zeros(WANTED_BITS, bool)
+    for b in batches:
+        found[_slots(b.column("u").to_numpy())] = True
+    blocks = np.packbits(found).reshape(-1, _BLOCK // 8)
+    full = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_pydict({"block": pa.array(full, pa.int32()), "bits": pa.array([blocks[k].tobytes() for k in full], pa.binary())})
 
-    return run
 
+def _merged_bits(key: tuple, rows: pa.Table) -> pa.Table:
+    every = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(every, axis=0).tobytes()], pa.binary())})
 
-def _by_node(shards: int):
-    """A shard's shared tokens, packed again by node, with the sets that hold each."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, tokens, held = _shared(table)
-        return _by_home(nodes, {"nodes": nodes, "tokens": tokens, "held": np.minimum(held, 1 << 30).astype(np.int32)}, shards, "part")
+def _reread(rows: DataFrame, wanted: DataFrame, sets_of: SetsOf, of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """(node, n, tokens) of the wanted sets (node, u, h1, h2), of the row u of each.
 
-    return run
+    A filter of fixed size, 4 MB, leaves most other rows out before their texts are looked at; what passes it in vain is
+    not in the join. Sets' rows move once, by the numbers that the join needs.
+    """
+    blocks = wanted.select("u").mapInArrow(_bits, "block int, bits binary").groupBy("block").applyInArrow(_merged_bits, "block int, bits binary").toArrow()
+    whole = np.zeros((WANTED_BITS // _BLOCK, _BLOCK // 8), np.uint8)
+    for k, b in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
+        whole[k] = np.frombuffer(b, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+    found = rows.select("u", "text").mapInArrow(_made(sets_of, of, shared), "u long, n long, h1 long, h2 long, tokens array<long>")
+    return found.join(wanted.select("node", "u", "h1", "h2"), ["u", "h1", "h2"]).dropDuplicates(["node"]).select("node", "n", "tokens")
 
 
-def _postings(like: Likeness):
-    def run(key: tuple, table: pa.Table, sizes: pa.Table) -> pa.Table:
-        """Each set's index keys. pos counts the tokens before the key's first in the set's order; lone those it holds alone."""
-        nodes, tokens, held = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("nodes", np.int64), ("tokens", np.uint64), ("held", np.int32)))
-        size_of = dict(zip(sizes.column("node").to_pylist(), sizes.column("n").to_pylist(), strict=True))
-        order = np.lexsort((tokens, held, nodes))
-        nodes, tokens, held = nodes[order], tokens[order], held[order]
-        edge = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
-        out: list[tuple[np.ndarray, int, int, np.ndarray, int]] = []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(nodes))[: len(edge)].tolist(), strict=True):
-            node = int(nodes[a])
-            n = size_of[node]
-            lone = n - (b - a)
-            k = min(2, -(-like.percent * n // 100))
-            stop = min(b, a + max(0, n + like.percent * n // -100 + k - lone))
-            if stop <= a:
-                continue
-            t, pos = tokens[a:stop], lone + np.arange(stop - a)
-            often = (held[a:stop] >= FREQUENT) & (k > 1)
-            alone = ~often if n < LONG else np.ones(len(t), bool)
-            out.append((mix(t[alone]), node, n, pos[alone], lone))
-            if often.sum() > 1 and n * like.percent < LONG * 100:
-                t, pos = t[often], pos[often]
-                i, j = np.triu_indices(len(t), 1)
-                out.append((mix(t[i] * np.uint64(0x9E3779B97F4A7C15) + mix(t[j])), node, n, pos[i], lone))
-        times = [len(o[0]) for o in out]
-        join = lambda k: np.repeat(np.array([o[k] for o in out], np.int64), times)
-        whole = lambda k, kind: np.concatenate([o[k] for o in out]) if out else np.zeros(0, kind)
-        return pa.table({"key": pa.array(whole(0, np.uint64).view(np.int64)), "node": pa.array(join(1)), "n": pa.array(join(2)), "pos": pa.array(whole(3, np.int64)), "lone": pa.array(join(4))})
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b, common, n, m): the overlap and sizes of each pair's sets."""
+    one = full.select(F.col("node").alias("a"), F.col("n"), F.col("tokens").alias("_ta"))
+    two = full.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("_tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("_ta", "_tb")).cast("long").alias("common"), "n", "m")
 
-    return run
 
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-def _near(like: Likeness, a: str, b: str) -> Column:
-    """Whether sizes and positions leave room for a link."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos"), n, m) >= like.possible(n, m)
 
+def _rare_pairs(shared: DataFrame, ready: DataFrame) -> DataFrame:
+    """(a, b) of sets that share rare tokens, as many as their frequent ones leave to be shared."""
+    some = shared.where(F.col("held") < FREQUENT).join(ready.where("rare >= need").select("node", "need"), "node")
+    groups = some.groupBy("token").agg(F.collect_list(F.struct("node", "need")).alias("g")).where("size(g) > 1")  # at most FREQUENT - 1 sets
+    pair = "x -> struct(least(x.l.node, x.r.node) as a, greatest(x.l.node, x.r.node) as b, greatest(x.l.need, x.r.need) as need)"
+    every = F.expr(f"transform(flatten(transform(g, (l, i) -> transform(slice(g, i + 2, size(g)), r -> struct(l as l, r as r)))), {pair})")
+    pairs = groups.select(F.explode(every).alias("p")).select("p.*").where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).where("s >= need").select("a", "b")
 
-def _links(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs that link. Only the sets of some pair move; the stored tables' sizes tell how."""
-    pairs = stored(pairs, "shingle-pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = stored(sets.join(named, "node", "left_semi"), "shingle-used")
-    one = used.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
-    two = used.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("_common", F.size(F.array_intersect("_ta", "_tb")))
-    return both.where(like.holds(F.col("_common"), F.size("_ta"), F.size("_tb"))).select("a", "b")
 
+def _led(keys: DataFrame) -> DataFrame:
+    """(key, node, n, hnode, hn): each key's sets beside one of them, for keys that several sets have."""
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    heads = stored(heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn")), "shingle-heads")
+    return keys.join(heads, "key")
 
-def connected(postings: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
-    """(node, root) of the sets that links connect.
 
-    postings: (key, node, n, pos, lone), the keys under which each set of n tokens is indexed; full: (node, tokens) of
-    these sets. Sets of one key are compared with the first of them; only those that are not yet connected with it are
-    compared with the others.
-    """
-    heads = postings.groupBy("key").agg(F.min(F.struct("lone", "node", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    heads = heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"))
-    led = stored(salted_join(postings, heads, "key", F.col("node")), "shingle-led")
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = led.where("node <> hnode").where(_near(like, "", "h")).select(*order(F.col("node"), F.col("hnode"))).distinct()
-    links = stored(_links(first, full, like), "shingle-links")
-    roots = stored(components(links), "shingle-roots")
-    #: Sets that are not connected with their key's first one are compared with all others of the key.
+def _connected(led: DataFrame, full: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """(node, root) of the sets that links connect, among pairs and among the sets of each key."""
+    linked = lambda v: v.where(like.holds(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
+    first = led.where("node <> hnode").where(like.possible(F.col("n"), F.col("hn"))).select(*_ordered("node", "hnode")).distinct()
+    seen = stored(_verified(stored(pairs.union(first).distinct(), "shingle-pairs"), full), "shingle-seen")
+    roots = stored(components(linked(seen)), "shingle-roots")
     root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
     known = led.join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
-    known = stored(known.select("key", "node", "n", "pos", "hnode", F.coalesce("_r", "node").alias("root"), F.coalesce("_h", "hnode").alias("hroot")), "shingle-known")
-    apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
-    again = apart.join(known, "key").where("root <> xroot and node <> hnode").where(_near(like, "x", "")).select(*order(F.col("xnode"), F.col("node"))).distinct()
-    links = links.union(stored(_links(again, full, like), "shingle-links"))
-    return components(links)
+    known = known.withColumn("root", F.coalesce("_r", "node")).withColumn("hroot", F.coalesce("_h", "hnode"))
+    if known.where("root <> hroot").isEmpty():
+        return roots
+    #: Distances from the key's first set: sets that differ in them by more than a link allows are not linked.
+    far = seen.select("a", "b", (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
+    known = known.withColumn("a", F.least("node", "hnode")).withColumn("b", F.greatest("node", "hnode")).join(far, ["a", "b"], "left")
+    known = stored(known.select("key", "node", "n", "hnode", "root", "hroot", F.when(F.col("node") == F.col("hnode"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "shingle-known")
+    apart = known.where("root <> hroot").select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "root", "d")])
+    others = known.where("node <> hnode").join(known.where("root <> hroot").select("key").distinct(), "key", "left_semi")
+    near = F.coalesce(F.abs(F.col("d") - F.col("xd")) <= F.lit((100 - like.percent) / 100 + 1e-9), F.lit(True))
+    again = others.join(apart, "key").where("root <> xroot").where(near & like.possible(F.col("n"), F.col("xn"))).select(*_ordered("xnode", "node")).distinct()
+    more = stored(_verified(stored(again, "shingle-again"), full), "shingle-more")
+    found = stored(components(linked(seen).union(linked(more))), "shingle-roots")
+    forget(known)
+    return found
+
+
+def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): rows (doc_id, u, n, h1, h2) of all documents, u a hash of doc_id and text; found (h1, h2, root,
+    least) of the sets that several documents have or that are linked, least the smallest doc_id of root's sets.
+
+    partition: of a set's size, the partitions that its keys hold in; without it there is one.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("u"), "doc_id", "text")
+    made = stored(rows.mapInArrow(_made(sets_of, None), f"u long, doc_id {kind}, n long, h1 long, h2 long"), "shingle-rows")
+    own = rows.select("u", "text").mapInArrow(_made(sets_of, lambda s: prefixes(like, s)), "u long, n long, h1 long, h2 long, tokens array<long>")
+    sets = own.groupBy("h1", "h2").agg(F.min("u").alias("u"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    postings = sets.select("node", F.explode("tokens").alias("token"), "n")
+    if partition is not None:
+        postings = postings.withColumn("part", F.explode(partition(F.col("n")))).withColumn("token", F.xxhash64("part", "token"))
+    postings = postings.select("token", "node")
+    counts = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shingle-counts")
+    shared = stored(postings.join(counts, "token"), "shingle-shared")
+    often = F.col("held") >= FREQUENT
+    per = shared.groupBy("node").agg(F.sum((~often).cast("long")).alias("rare"), F.sum(often.cast("long")).alias("frequent"))
+    ready = per.join(sets.select("node", "n", "u", "h1", "h2"), "node").withColumn("least", like.least_shared(F.col("n")))
+    ready = ready.withColumn("need", F.greatest(F.lit(1), F.col("least") - F.col("frequent"))).where("rare + frequent >= least")
+    ready = stored(ready, "shingle-ready")
+    pairs = stored(_rare_pairs(shared, ready), "shingle-rare")
+    flagged = ready.where("frequent >= least")
+    keys = _reread(rows, flagged, sets_of, lambda s: combinations(like, s)).select(F.explode("tokens").alias("key"), "node", "n")
+    keys = stored(keys, "shingle-keys")
+    led = stored(_led(keys), "shingle-led")
+    forget(counts, shared, keys)
+    named = led.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    full = stored(_reread(rows, ready.join(named, "node", "left_semi"), sets_of, lambda s: s), "shingle-full")
+    roots = _connected(led, full, pairs, like)
+    forget(full, led, ready, pairs)
+    copies = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    some = copies.join(sets.select("h1", "h2", "node"), ["h1", "h2"]).join(roots, "node", "left").where("copies > 1 or root is not null")
+    some = stored(some.withColumn("root", F.coalesce("root", "node")), "shingle-some")
+    least = some.groupBy("root").agg(F.min("rep").alias("least"))
+    return made, stored(salted_join(some, least, "root", F.col("node")).select("h1", "h2", "root", "least"), "shingle-found")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -266,58 +332,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Words are runs without white space, with A-Z lowered; a set is the distinct shingles, of a text with fewer words the
     whole sequence as one. Two documents link when 100 * intersection >= percent * union; component_id is the smallest
     doc_id that links reach. Null, empty and blank texts have no set and no link. Equal texts, also repeated rows, are
-    linked; a null doc_id is never the smallest unless all are null. Shingles and sets are told apart by 64-bit hashes.
-    An empty table gives an empty result; other columns are not read.
+    linked; a null doc_id is never the smallest unless all are null. Shingles of a pair are told apart by 64-bit hashes,
+    sets by 128. An empty table gives an empty result; other columns are not read.
     """
-    like = Likeness(words, percent)
-    spark = docs.sparkSession
-    shards = fan_out(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    made = stored(texts.mapInArrow(_prefixed(like), f"doc_id {kind}, n long, node long, prefix array<long>"), "shingle-prefixes")
-    sets = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = stored(sets, "shingle-sets")
-    packed = "shard int, nodes binary, tokens binary"
-    counts = sets.select("node", "prefix").mapInArrow(_packed(shards, "prefix"), packed).groupBy("shard").applyInArrow(_count_shared(shards), "home int, nodes binary, shared binary")
-    counts = counts.groupBy("home").applyInArrow(_sum_shared, "node long, shared long")
-    least = F.least(F.floor(F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9) / 20) + 1, F.ceil(F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9) * F.lit(percent) / 100 - 1e-9))
-    candidates = stored(sets.select("node", "n", "rep").where("rep is not null").join(counts, "node").where(F.col("shared") >= least).select("node", "n", F.col("rep").cast("long").alias("rep")), "shingle-candidates")
-    bits = np.zeros(CANDIDATE_BITS, np.uint8)
-    bits[candidates.select(F.col("rep").alias("doc_id")).mapInArrow(_filter_bits, "slot long").distinct().toArrow().column("slot").to_numpy()] = 1
-    maybe = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    full = texts.mapInArrow(_full_sets(like, maybe), f"doc_id {kind}, node long, tokens array<long>")
-    #: The filter lets some others through. Joined by node alone, the sets move once for the join and for repeated rows.
-    full = full.join(candidates.select("node", "rep"), "node").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"]).select("node", "tokens")
-    full = stored(full, "shingle-full")
-    parts = full.mapInArrow(_packed(shards, "tokens"), packed).groupBy("shard").applyInArrow(_by_node(shards), "part int, nodes binary, tokens binary, held binary")
-    part_of = _part(F.col("node"), shards)
-    postings = parts.groupBy("part").cogroup(candidates.select(part_of.alias("part"), "node", "n").groupBy("part")).applyInArrow(_postings(like), "key long, node long, n long, pos long, lone long")
-    postings = stored(postings, "shingle-postings")
-    roots = connected(postings, full, like)
-    named = sets.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named, "shingle-named")
-    linked = named.where("copies > 1").select("root").union(roots.select("root")).distinct()
-    smallest = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    found = salted_join(named, smallest, "root", F.col("node")).select("node", F.col("least").alias("component_id"))
-    rows = salted_join(made.select("doc_id", "n", "node"), found, "node", F.struct("doc_id"), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _part(node: Column, shards: int) -> Column:
-    """The part of _by_node for a node, as a pandas expression over few rows."""
-
-    @F.pandas_udf("int")
-    def part(nodes):
-        import pandas as pd
-
-        return pd.Series(shard_of(mix(nodes.to_numpy().view(np.uint64)), shards).astype(np.int32))
-
-    return part(node)
+    made, found = classed(docs, lambda texts: shingle_sets(texts, words), Likeness(words, percent))
+    rows = made.join(found.select("h1", "h2", F.lit(1).alias("_hit"), "least"), ["h1", "h2"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_hit") == 1, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; texts without words stay all."""
-    found = jaccard_components(docs, words, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """docs with one row of each component, that of the smallest doc_id, of equal ones that of the least hash of id and
+    text; texts without words stay all. Null doc_ids are largest. An empty table gives an empty result.
+
+    Only identical rows, which that hash does not tell apart, go through a further step; texts move once.
+    """
+    made, found = classed(docs, lambda texts: shingle_sets(texts, words), Likeness(words, percent))
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "u")
+    in_class = made.where("n > 0").join(found.select("h1", "h2", "root"), ["h1", "h2"])
+    first = in_class.groupBy("root").agg(F.min(place).alias("first"))
+    gone = salted_join(in_class, first, "root", F.col("u")).where(F.col("u") != F.col("first.u")).select("u")
+    twice = made.where("n > 0").groupBy("u").count().where("count > 1").select("u", F.lit(True).alias("_twice"))
+    gone = stored(gone.select("u", F.lit(False).alias("_twice")).distinct().union(twice.join(gone.select("u").distinct(), "u", "left_anti")), "shingle-gone")
     rows, at = numbered(docs)
-    return rows.join(kept, at["doc_id"].eqNullSafe(kept["doc_id"])).select(*rows.columns).toDF(*docs.columns)
+    rows = rows.withColumn("u", F.xxhash64(at["doc_id"], at["text"])).join(gone, "u", "left")
+    once = rows.where("_twice").dropDuplicates(["u"])
+    return rows.where("_twice is null").unionByName(once).drop("u", "_twice").toDF(*docs.columns)

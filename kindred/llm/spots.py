@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import fan_out, stored
-from .shingles import Likeness, connected, set_key
+from .shingles import Likeness, classed
 from .text import LETTERS, mix, sliced, words_hashed
 
 #: Words so common that they may stand anywhere; the content words after them make the signatures.
@@ -217,37 +217,22 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_edited, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _sets(like: Likeness):
-    """Each text's signature set, and the least ones that a set alike must share one of."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "text", 2 << 20):
-            found, ends = signatures(texts)
-            sets = [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(np.diff(ends).astype(np.int64)), "node": pa.array([set_key(x) for x in sets], pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int64)))})
-
-    return run
+def signature_sets(texts: list[bytes]) -> list[np.ndarray]:
+    found, ends = signatures(texts)
+    wide = found.astype(np.uint64)
+    return [wide[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def near_copies(docs: DataFrame, percent: int = round(100 * NEAR)) -> DataFrame:
     """(doc_id, n_signatures, class_id), one row per document: class_id is the smallest doc_id that likeness reaches.
 
     Signature sets of percent likeness differ in length by that factor at most, so sets are indexed within partitions by
-    length, each also in the next one, under the signatures of their prefix; lengths and positions prune a comparison
-    before the whole sets are looked at. Texts without a signature, null ones too, stay alone; equal texts are together.
-    A null doc_id is never the smallest unless all are null.
+    length, each also in the next one, under the signatures of their prefix; lengths and counts of common signatures
+    prune a pair before the whole sets are looked at. Texts without a signature, null ones too, stay alone; equal texts
+    are together, also of repeated rows. A null doc_id is never the smallest unless all are null. An empty table gives
+    an empty result; other columns are not read.
     """
-    like = Likeness(0, percent)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = stored(docs.select("doc_id", "text").mapInArrow(_sets(like), f"doc_id {kind}, n long, node long, tokens array<long>"), "spot-sets")
-    sets = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = stored(sets, "spot-nodes")
-    least = F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9)
-    part = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
-    spread = sets.select("node", "n", part.alias("part"), F.posexplode(F.slice("tokens", 1, (F.col("n") - least + 1).cast("int"))).alias("pos", "token"))
-    spread = spread.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
-    postings = stored(spread.select(F.xxhash64("part", "token").alias("key"), "node", "n", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("lone")), "spot-postings")
-    roots = stored(connected(postings, sets.select("node", "tokens"), like), "spot-roots")
-    named = sets.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("node", "least")
-    return made.drop("tokens").join(classes, "node", "left").select("doc_id", F.col("n").alias("n_signatures"), F.coalesce("least", "doc_id").alias("class_id"))
+    part = lambda n: (lambda p: F.array(p, p + 1))(F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9))
+    made, found = classed(docs, signature_sets, Likeness(0, percent), part)
+    rows = made.join(found.select("h1", "h2", F.lit(1).alias("_hit"), "least"), ["h1", "h2"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_signatures"), F.when(F.col("_hit") == 1, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))

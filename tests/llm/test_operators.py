@@ -330,9 +330,13 @@ def test_shingle_components(documents, k, percent):
     assert sorted(repr(tuple(r)) for r in found) == plain_components([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()], k, percent)
 
 
-@pytest.mark.parametrize("often", [64, 2])
+def plain_components_of(texts, percent, words_of=3):
+    return plain_components(list(enumerate(texts)), words_of, percent)
+
+
+@pytest.mark.parametrize("often", [64, 8, 2])
 def test_shingle_components_of_a_large_group_of_near_copies(spark, monkeypatch, often):
-    """Copies with a few changed words each, some of which only others than the first connect; with frequent tokens by pairs."""
+    """Copies with a few changed words each, some of which only others than the first connect; with frequent tokens by combinations."""
     monkeypatch.setattr(shingles, "FREQUENT", often)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
@@ -350,11 +354,54 @@ def test_shingle_components_of_a_large_group_of_near_copies(spark, monkeypatch,
     assert sorted(repr(tuple(r)) for r in shingles.jaccard_components(df, 3, 90).collect()) == plain_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_shingle_components_of_long_and_hot_sets(spark, k, percent):
+    """Long texts in families, of which some members are just not linked; a passage that many others share; short texts."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, members, most in ((1500, 24, 60), (700, 12, 40), (30, 30, 3), (8, 20, 2)):
+        base = [f"{size}w{i}" for i in range(size)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(int(rng.integers(0, most))):
+                w[int(rng.integers(0, size))] = f"{size}x{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(w[: size - int(rng.integers(0, 1 + size // 50))])))
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in range(40):
+        rows.append((len(rows), " ".join(f"o{rng.integers(0, 9000)}" for _ in range(int(rng.integers(0, 30)))) + " " + passage + f" e{i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(repr(tuple(r)) for r in shingles.jaccard_components(df, k, percent).collect()) == plain_components(rows, k, percent)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.integers(2, 260), st.sampled_from([80, 90]), st.integers(0, 10**6))
+def test_linked_sets_share_a_combination(size, percent, seed):
+    """Pairs that differ as much as a link allows, of all sizes."""
+    rng = np.random.default_rng(seed)
+    like = shingles.Likeness(3, percent)
+    pool = text.mix(rng.integers(1, 1 << 60, 2 * size + 2).astype(np.uint64))
+    n = size
+    both = like.overlap(n)
+    one, two = np.unique(pool[:n]), np.unique(pool[n - both : n - both + max(both, int(rng.integers(both, n + 1)))])
+    common = len(np.intersect1d(one, two))
+    if 100 * common >= percent * (len(one) + len(two) - common):
+        a, b = shingles.combinations(like, [one, two])
+        assert len(np.intersect1d(a, b))
+
+
 def test_shingle_components_of_odd_rows(odd, wide, none):
     found = same_on_all(lambda d: shingles.jaccard_components(d, 3, 90), odd, wide, none)
     assert sorted(repr(tuple(r)) for r in found) == plain_components([(r[0], r[1]) for r in ROWS], 3, 90)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows and ids: a row stays for each component, and rows without words stay."""
+    t, u = " ".join(f"t{i}" for i in range(50)), " ".join(f"u{i}" for i in range(50))
+    rows = [(0, t), (1, t), (1, u), (1, u), (2, u + " more"), (None, t), (3, None), (3, None), (4, " ")]
+    left = sorted(repr(tuple(r)) for r in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted(repr(r) for r in [(0, t), (1, u), (3, None), (3, None), (4, " ")])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 22), (22, 20), (5, 5), (30, 31)] + [(100 + i, 101 + i) for i in range(40)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
