@@ -18,8 +18,8 @@ BITS, SAMPLE = 15, 8_000
 SWITCH, FOREIGN = 8.0, 40.0
 #: The least part of a language's words in a script that makes it one of the language's scripts.
 OWN_SCRIPT = 0.01
-#: Words that are searched together.
-STEP = 32
+#: Words that are searched together; from WIDE candidates on, texts are searched word by word, side by side.
+STEP, WIDE = 32, 16
 
 #: Code point ranges of scripts.
 SCRIPTS = (
@@ -120,9 +120,12 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.n
     """The state of each row on each text's best path: row scores less penalty at each change.
 
     Texts are cut into STEP rows. All cuts go forward at once for every state before them; then the cuts of each text
-    are joined in order, forward and back.
+    are joined in order, forward and back. That takes a table of states by states for each cut, so many states go
+    another way with the same result. There may be 2**15 - 1 states.
     """
     n_states = scores.shape[1]
+    if n_states > WIDE:
+        return _side_by_side(scores, at, penalty)
     lengths = np.diff(at)
     cuts = -(-lengths // STEP)
     first = np.cumsum(cuts) - cuts
@@ -146,7 +149,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.n
         c = first[rank[: np.searchsorted(-ordered, -k)]] + k
         before[c] = (before[c - 1][:, :, None] + way[c - 1]).max(axis=1)
         before[c] -= before[c].max(axis=1, keepdims=True)
-    state, back = before, np.zeros((STEP, total, n_states), np.int8)
+    state, back = before, np.zeros((STEP, total, n_states), np.int16)
     for t in range(STEP):
         best = state.argmax(axis=1)
         switched = state.max(axis=1, keepdims=True) - penalty
@@ -166,6 +169,49 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.n
     return labels[step, cut]
 
 
+def _side_by_side(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi with one step for each place in the texts, of all texts that are long enough."""
+    lengths = np.diff(at)
+    rank = np.argsort(-lengths, kind="stable")
+    live = [rank[:k] for k in np.searchsorted(-lengths[rank], -np.arange(int(lengths.max(initial=0))), side="left").tolist()]
+    state, back = np.zeros((len(lengths), scores.shape[1])), np.zeros(scores.shape, np.int16)
+    for t, now in enumerate(live):
+        before, row = state[now], at[now] + t
+        if t:
+            switched = before.max(axis=1, keepdims=True) - penalty
+            back[row] = np.where(switched > before, before.argmax(axis=1)[:, None], np.arange(scores.shape[1])[None, :])
+            before = np.maximum(before, switched)
+        state[now] = before + scores[row]
+    end, labels = state.argmax(axis=1), np.zeros(len(scores), np.int64)
+    for t in range(len(live) - 1, -1, -1):
+        row = at[live[t]] + t
+        labels[row] = end[live[t]]
+        end[live[t]] = back[row, end[live[t]]]
+    return labels
+
+
+def narrowed(model: Model, number: np.ndarray, at: np.ndarray, scores: np.ndarray, script: np.ndarray) -> np.ndarray:
+    """Each word's language. Only languages that are written in some script of a text are candidates for its words."""
+    whole = np.zeros(len(at) - 1, np.uint16)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        whole[some] = np.bitwise_or.reduceat(script[number], at[some])
+    labels = np.zeros(len(number), np.int64)
+    fits = lambda mask: np.flatnonzero((model.scripts & mask) != 0)
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for mask in np.unique(whole).tolist():
+        chosen = fits(np.uint16(mask))
+        groups.setdefault(tuple((chosen if len(chosen) else np.arange(len(model.langs))).tolist()), []).append(mask)
+    for chosen, masks in groups.items():
+        texts = np.flatnonzero(np.isin(whole, masks))
+        lengths = np.diff(at)[texts]
+        row = np.repeat(at[texts] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        if len(row):
+            found = viterbi(scores[np.ix_(number[row], chosen)], np.append(0, np.cumsum(lengths)))
+            labels[row] = np.array(chosen)[found]
+    return labels
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts of a bounded sample of the training documents with a language; at most 2**16 numbers a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -189,7 +235,7 @@ def _spanned(shared):
             lettered = script[number] != 0 if len(number) else np.zeros(0, bool)
             owner = np.repeat(np.arange(n), np.diff(at))
             if model.langs and len(number):
-                labels = viterbi(model.word_scores(word, gram, of, script)[number], at)
+                labels = narrowed(model, number, at, model.word_scores(word, gram, of, script), script)
             else:
                 labels = np.zeros(len(number), np.int64)
             votes = np.bincount(owner[lettered] * size + labels[lettered], minlength=n * size).reshape(n, size)
@@ -218,8 +264,8 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     spans: [first_word, end_word) by language, on the best path of the word scores; a word without a letter goes with
     its neighbours. lang_pred has most words with letters, the first in code point order of equal ones, and score is
     its part of them; letters of no known script give score 0. Null, empty and letterless texts are "und" with score 0,
-    and so is everything without a learned language. The broadcast model has 2**16 numbers a language. Other columns
-    are not read.
+    and so is everything without a learned language. The broadcast model has 2**16 numbers a language. Repeated rows
+    are rows of their own, an empty table gives an empty result, and other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
