@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, bits: int = 31) -> DataFrame:
     prints = stored(hashed.mapInArrow(_hash_batches(bits), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print binary, text_sha256 string"), "prints")
     found = _members(prints)
     found = stored(found, "exact-groups")
-    odd = stored(_unequal(texts, found.where("group_size > 1").select("doc_id", "print").distinct()), "exact-odd")
+    odd = stored(_unequal(hashed, found.where("group_size > 1").select("doc_id", "print", "text_sha256").distinct()), "exact-odd")
     if not odd.isEmpty():
         #: Different texts under one fingerprint: their groups are formed anew, by whole texts.
         fresh = _members(prints.join(odd, "print", "left_semi").select("doc_id", F.unhex("text_sha256").alias("print"), "text_sha256"))
@@ -111,9 +111,12 @@ def _members(prints: DataFrame) -> DataFrame:
 
 
 def _unequal(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Prints under which texts differ: the smallest and largest of each chunk, by partial aggregates, must be one."""
-    members = members.withColumnRenamed("doc_id", "_id")
-    pairs = texts.join(members, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Prints under which texts differ: the smallest and largest of each chunk, by partial aggregates, must be one.
+
+    texts have their text_sha256, so that rows of one doc_id, or of none, meet their own prints only.
+    """
+    members = members.select(F.col("doc_id").alias("_id"), "print", F.col("text_sha256").alias("_sha"))
+    pairs = texts.join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")))
     last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / COMPARED)).cast("int")
     chunk = F.substring(F.col("text"), F.col("no") * COMPARED + 1, F.lit(COMPARED))
     chunks = pairs.withColumn("no", F.explode(F.sequence(F.lit(0), last))).select("print", "no", chunk.alias("chunk"))
@@ -121,7 +124,8 @@ def _unequal(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row has already; one of each group stays whole."""
+    """docs without the rows whose text another row has already; one of each group stays whole, that of the smallest
+    doc_id, of repeated ones any. Null and empty texts are one group. An empty table gives an empty result."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     rows, at = numbered(docs)
     same = at["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(normal(at["text"]).cast("binary"), 256) == F.col("_sha"))
