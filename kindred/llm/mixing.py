@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .session import numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, and about how many words a shard holds; a shard is what one window task sorts.
-BLOCK_WORDS, SHARD_WORDS = 64, 1 << 20
+#: Words of a block, and about how many words and documents a shard holds at most; a shard is what one window task sorts.
+BLOCK_WORDS, SHARD_WORDS, SHARD_ROWS = 64, 1 << 20, 1 << 15
 
 
 def words_of(text: Column) -> Column:
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         .withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "place", "level")))
         .withColumn("common", F.min("fits").over(every)["level"])
     )
-    return ranked.select("source", "source_size", "place", F.least("cap", F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))).alias("target"))
+    return ranked.select(*sizes.columns, "place", F.least("cap", F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
@@ -67,50 +67,61 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
     return won.groupBy(*group, key).agg(*keep, (F.first("_sure") + F.sum("_won")).alias("quota"))
 
 
-def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, taken), one row per document.
-
-    Each source's target becomes a whole number of blocks by Sainte-Laguë among the sources, and these blocks quotas of
-    its shards by Sainte-Laguë among them. In a shard the documents lie on one line of words in seeded order; the quota
-    takes its first blocks, and begins again at the line's start beyond its end, twice at most. Null or blank texts have
-    size 0 and nothing is taken of them; a null source is a source of its own, the last; equal rows are documents of
-    their own; an empty table gives an empty result. Other columns are not read.
-    """
-    rows = stored(docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")), "mix-sizes")
-    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+def _placed(rows: DataFrame, sizes: DataFrame, seed: int, block_words: int, shard_words: int, ties: list[str]) -> DataFrame:
+    """rows (doc_id, source, size, text_key and others) with source_size, target and taken. sizes: the same rows, stored."""
+    wanted = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
     wanted = wanted.withColumn("all_blocks", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")).withColumn("one", F.lit(1))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / SHARD_ROWS)).cast("long")
     sources = stored(
-        sainte_lague(wanted, ["one"], "place", "target", "all_blocks").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
-        .select(F.col("source").alias("name"), "place", "source_size", "target", F.col("quota").alias("source_quota"), "shards"),
+        sainte_lague(wanted, ["one"], "place", "target", "all_blocks")
+        .select(F.col("source").alias("name"), "place", "source_size", "target", F.col("quota").alias("source_quota"), shards.alias("shards")),
         "mix-sources",
     )
-    order = F.xxhash64("doc_id", "text_key", F.lit(seed))
-    dealt = (
-        rows.join(sources, rows["source"].eqNullSafe(sources["name"]))
-        .withColumn("seeded", order)
-        .withColumn("shard", F.pmod(F.xxhash64("seeded", F.lit("shard")), F.col("shards")))
-    )
-    shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = sainte_lague(shards, ["place"], "shard", "shard_size", "source_quota")
-    takes = quotas.select("place", "shard", "shard_size", F.least(F.col("quota") * block_words, F.col("shard_size") * 2).alias("takes"))
-    line = Window.partitionBy("place", "shard").orderBy("seeded", "doc_id", "size")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        known = df.join(sources, df["source"].eqNullSafe(sources["name"])).withColumn("seeded", F.xxhash64("doc_id", "text_key", F.lit(seed)))
+        return known.withColumn("shard", F.pmod(F.xxhash64("seeded", F.lit("shard")), F.col("shards")))
+
+    held = dealt(sizes).groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    quotas = sainte_lague(held, ["place"], "shard", "shard_size", "source_quota")
+    takes = stored(quotas.select("place", "shard", "shard_size", F.least(F.col("quota") * block_words, F.col("shard_size") * 2).alias("takes")), "mix-takes")
+    line = Window.partitionBy("place", "shard").orderBy("seeded", "doc_id", "size", *ties)
     placed = (
-        dealt.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        dealt(rows).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .join(takes, ["place", "shard"])
         .withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(F.col("takes") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("takes") - F.col("rounds") * F.col("shard_size"))
     )
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - (F.col("end") - F.col("size"))))
-    return placed.select("doc_id", "text_key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.withColumn("taken", (F.col("rounds") * F.col("size") + part).cast("long"))
 
 
-def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """docs with each row as often as the mix takes it; a document taken in part gives a row with its first words."""
-    taken = mix(docs, seed).where("taken > 0").groupBy("doc_id", "text_key").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, text_key, size, source_size, target, taken), one row per document.
+
+    Each source's target becomes a whole number of blocks by Sainte-Laguë among the sources, and these blocks quotas of
+    its shards by Sainte-Laguë among them. In a shard the documents lie on one line of words in seeded order; the quota
+    takes its first blocks, and begins again at the line's start beyond its end, twice at most. Null or blank texts have
+    size 0 and nothing is taken of them; a null source is a source of its own, the last; equal rows are documents of
+    their own; an empty table gives an empty result. Other columns are not read.
+    """
+    rows = stored(docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")), "mix-sizes")
+    return _placed(rows, rows, seed, block_words, shard_words, []).select("doc_id", "text_key", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs with each row as often as the mix takes it; a document taken in part gives a row with its first words.
+
+    Rows go to their shards with all their columns, so equal rows are taken each for itself, as mix() tells. Null and
+    blank texts go; an empty table gives an empty result.
+    """
     rows, at = numbered(docs)
-    rows = rows.join(taken, at["doc_id"].eqNullSafe(F.col("doc_id")) & (F.xxhash64(at["text"]) == F.col("text_key")))
-    rows = rows.withColumn("_words", F.expr("explode(filter(concat(array_repeat(_size, int(_taken div _size)), array(_taken % _size)), x -> x > 0))"))
-    part = F.col("_words") < F.col("_size")
+    rows = rows.select(*rows.columns, at["doc_id"].alias("doc_id"), at["source"].alias("source"), words_of(at["text"]).alias("size"), F.xxhash64(at["text"]).alias("text_key"))
+    sizes = stored(rows.select("doc_id", "source", "size", "text_key"), "mix-sizes")
+    rows = rows.withColumn("_tie", F.xxhash64(*at.values()))
+    rows = _placed(rows, sizes, seed, block_words, shard_words, ["_tie"]).where("taken > 0")
+    rows = rows.withColumn("_words", F.expr("explode(filter(concat(array_repeat(size, int(taken div size)), array(taken % size)), x -> x > 0))"))
+    part = F.col("_words") < F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all(at["text"], F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), "")
     shown = at | {"text": F.when(part, cut).otherwise(at["text"])}
     if "n_chars" in docs.columns:
