@@ -72,9 +72,10 @@ ORACLES = {
             select t.*, speaker,
                    case when role = speaker then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user:' || replace(replace(role, '\', '\\'), '<|', '<\|') || '|>' end || chr(10) as head
             from t join s using (conv_id)),
-        o as (select *, sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by turn, role, body) as e from v)
+        o as (select *, sum(length(head) + length(body)) over (partition by conv_id, speaker order by part, turn, role, body) as e from v)
         select conv_id, speaker, part, count(*) as n_turns, count(*) filter (where role = speaker) as n_own,
-               string_agg(head || body, '' order by turn, role, body) as rendered, cast(max(e) as bigint) as n_chars,
+               string_agg(head || body, '' order by turn, role, body) as rendered, cast(min(e - length(head) - length(body)) as bigint) as "begin",
+               cast(sum(length(head) + length(body)) as bigint) as n_chars,
                coalesce(string_agg((e - length(body)) || '-' || e, ',' order by turn, role, body) filter (where role = speaker), '') as mask
         from o group by conv_id, speaker, part""",
 }

@@ -239,6 +239,15 @@ def test_exact_groups(documents, bits):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in found)
 
 
+def test_exact_groups_of_rows_without_ids(spark):
+    """Rows of no id, or of one, meet their own texts only, also when fingerprints collide."""
+    rows = [(None, f"text {i % 5}") for i in range(20)] + [(7, f"text {i % 3}") for i in range(6)]
+    for bits in (31, 1):
+        found = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), bits).collect()
+        assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in found) == plain_exact(rows)
+        assert sum(r.kept for r in found) == 5
+
+
 def test_exact_groups_of_odd_rows(odd, wide, none):
     found = same_on_all(exact.exact_groups, odd, wide, none)
     assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in found) == plain_exact([(r[0], r[1]) for r in ROWS])
@@ -275,6 +284,31 @@ def test_viterbi(lengths, seed):
             assert value(labels[a:b].tolist(), s) == pytest.approx(best.max())
 
 
+@pytest.mark.parametrize("n_states", [17, 150, 200])
+def test_viterbi_of_many_languages(n_states):
+    rng = np.random.default_rng(n_states)
+    at = np.array([0, 40, 40, 41, 130])
+    scores = rng.normal(size=(130, n_states)) * 3
+    labels = language.viterbi(scores, at, 4.0)
+    assert labels.min() >= 0 and labels.max() > 10
+    language_wide, language.WIDE = language.WIDE, 1 << 20
+    try:
+        assert (labels == language.viterbi(scores, at, 4.0)).all()
+    finally:
+        language.WIDE = language_wide
+
+
+def test_language_narrows_by_script():
+    """Each language's words only in its own scripts, whatever the scores say; a text without a script has all candidates."""
+    counts = np.zeros((3, 2 * (1 << language.BITS) + 16))
+    counts[0, -16], counts[1, -16], counts[2, -14] = 5, 5, 5
+    model = language.Model(["a", "b", "c"], counts)
+    number, at = np.array([0, 1, 0, 2, 2]), np.array([0, 2, 3, 5])
+    script = np.array([1, 4, 0], np.uint16)
+    scores = np.array([[-1.0, -2.0, 0.0], [-50.0, -50.0, 0.0], [0.0, -1.0, -2.0]])
+    assert language.narrowed(model, number, at, scores, script).tolist() == [2, 2, 0, 0, 0]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.label(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -334,10 +368,11 @@ def plain_components_of(texts, percent, words_of=3):
     return plain_components(list(enumerate(texts)), words_of, percent)
 
 
-@pytest.mark.parametrize("often", [64, 8, 2])
-def test_shingle_components_of_a_large_group_of_near_copies(spark, monkeypatch, often):
-    """Copies with a few changed words each, some of which only others than the first connect; with frequent tokens by combinations."""
+@pytest.mark.parametrize(("often", "closed"), [(64, 64), (2, 5)])
+def test_shingle_components_of_a_large_group_of_near_copies(spark, monkeypatch, often, closed):
+    """Copies with a few changed words each, some of which only others than the first connect; also by combinations and further rounds."""
     monkeypatch.setattr(shingles, "FREQUENT", often)
+    monkeypatch.setattr(shingles, "CLOSED", closed)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -594,9 +629,40 @@ def test_mixed_rows_hold_the_words_taken(documents, wide):
     assert {k: v for k, v in taken.items() if v} == dict(have)
 
 
+def test_mixed_takes_equal_rows_each_for_itself(spark):
+    rows = [(5, "a b c d e f g h " * 24, "x", 0)] * 3 + [(6, "k " * 300, "y", 0), (7, None, "y", 0), (8, " ", "z", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want, have = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id] += r.taken
+    for r in mixing.mixed(df).collect():
+        have[r.doc_id] += len(WORD.findall(r.text))
+    assert have == Counter({k: v for k, v in want.items() if v}) and have[5] > 0
+
+
 # 9
 
 
+def test_chat_of_long_dialogues(spark):
+    """More turns than a part has: parts are one text, with offsets in it; ties and long texts; columns of other names."""
+    rng = np.random.default_rng(0)
+    names = ["system", "ann", "bob", "a|b\\\\"]
+    rows = [(1, int(t), names[int(rng.integers(0, 4))], f"t{t} <|x " * int(rng.integers(0, 3))) for t in range(700)] + [(1, 5, "ann", "z" * 100_000), (1, 5, "ann", "z" * 100_000), (2, 3, "system", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    views = chat.rotate(df.withColumn("begin", F.lit(9)).withColumn("own", F.lit(9)))
+    assert views.count() == 3 * 3
+    for r in chat.whole(views).collect():
+        esc = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+        want, spans = "", []
+        for _, _, role, t in sorted(x for x in rows if x[0] == 1):
+            want += "<|assistant|>\n" if role == r.speaker else "<|system|>\n" if role == "system" else f"<|user:{esc(role)}|>\n"
+            said = esc(t) + "<|end|>\n"
+            if role == r.speaker:
+                spans.append(f"{len(want)}-{len(want) + len(said)}")
+            want += said
+        assert r.rendered == want and r["mask"] == ",".join(spans)
+
+
 def test_chat_views(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, None, None, "x"), (3, 0, "system", "alone"), (None, 300, "ann", "y"), (None, 1, "ann", "z"), (1, 3, "ann", "bye")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
