@@ -11,9 +11,10 @@ the first n - o + k of each. Every filter below is exact:
    sets differ in fewer tokens than there are classes, so some class has one combination in both.
 3. Candidates are verified on whole sets.
 
-Sets that share a combination are compared with one of them, the head, only. Those that this does not connect are indexed
-anew by the tokens that the head lacks, and so on. So a group of near copies costs about as many comparisons as it has
-members, whether they are linked or not quite, and still no component is missed.
+Sets that share a combination are compared with one of them, the head. Those that this does not connect are compared
+with the others below the head, but for those that their sizes, their tokens that no other set has or their distances
+from the head rule out. So a group of near copies costs about as many comparisons as it has members, and still no
+component is missed.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ from .text import mix, sliced, words_hashed
 
 #: Sets that hold a frequent token at least. Rare tokens make at most FREQUENT * (FREQUENT - 1) / 2 pairs.
 FREQUENT = 8
-#: Sets below one head that are compared with each other at once; larger groups are indexed anew.
-CLOSED = 64
 #: Bits of the filter that tells which rows are read again.
 WANTED_BITS = 1 << 25
 #: Bits of a token by which it is indexed; whole tokens are compared when sets are verified.
@@ -261,60 +260,48 @@ def _rare_pairs(shared: DataFrame, ready: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).where("s >= need").select("a", "b")
 
 
-def _few(groups: DataFrame) -> DataFrame:
-    """(a, b) of the sets in each list g of (node, root), at most CLOSED, that are not connected yet."""
-    pairs = "transform(flatten(transform(g, (l, i) -> transform(slice(g, i + 2, size(g)), r -> struct(l as l, r as r)))), x -> struct(least(x.l.node, x.r.node) as a, greatest(x.l.node, x.r.node) as b, x.l.root = x.r.root as one))"
-    return groups.select(F.explode(F.expr(f"filter({pairs}, x -> not x.one)")).alias("p")).select("p.a", "p.b")
+def _insides(full: DataFrame) -> DataFrame:
+    """full with inside: how many of a set's tokens some other set has too. No overlap is larger.
+
+    Each token is counted with the smallest node that has it, so that one exchange of tokens tells whose it is alone.
+    """
+    tokens = full.select("node", F.explode("tokens").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
+    return full.select("node", "n", "tokens").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("inside"), "tokens")
 
 
 def _connected(keys: DataFrame, full: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     """(node, root) of the sets that links connect, among pairs and among the sets of each key.
 
-    keys: (key, chain, node, n, total, root), total the node's number of keys. The sets of a rare key are compared with
-    each other. Those of a frequent one are compared with its head h only, the set with the fewest keys that no other
-    has, as the most central one has. Two sets x, y of it that are not connected then cannot both be linked with h. A
-    link of theirs needs an overlap of o, and min(|x & h|, |y & h|) of it at most is in h. So either they have some
-    token in common that h lacks, which is a key of the next round; or o is no more than that, which happens to sets
-    shorter than h, and they are compared at once. Heads leave their groups, so rounds come to an end; groups of a few sets
-    need no further round.
+    All sets of a key are compared with its head only, the set with the fewest tokens that no other has, as the most
+    central one has. Those below one head that are not connected with it are then compared with the others there, if
+    their sizes, the tokens that some other set has too, and their distances from the head leave room for a link.
     """
     linked = lambda v: v.where(like.holds(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
-    links = stored(linked(_verified(pairs, full)), "shingle-links")
-    while True:
-        #: Keys whose sets are all connected have nothing to tell.
-        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key", "held")
-        some = stored(keys.join(stored(counts, "shingle-held"), "key"), "shingle-common")
-        few = _few(some.where(F.col("held") < FREQUENT).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("g")))
-        many = some.where(F.col("held") >= FREQUENT)
-        lone = many.groupBy("node").agg((F.first("total") - F.count(F.lit(1))).alias("lone"))
-        heads = many.join(lone, "node").groupBy("key").agg(F.min(F.struct("lone", "node", "root")).alias("h"))
-        heads = stored(heads.select("key", F.col("h.node").alias("hnode"), F.col("h.root").alias("hroot")), "shingle-heads")
-        led = stored(many.join(heads, "key").where("node <> hnode").select("chain", "node", "n", "root", "hnode", "hroot").distinct(), "shingle-led")
-        first = few.union(led.where("root <> hroot").select(*_ordered("node", "hnode"))).distinct()
-        links = stored(links.union(linked(_verified(stored(first, "shingle-pairs"), full))), "shingle-links")
-        roots = stored(components(links), "shingle-roots")
-        root = lambda at, to, roots=roots: roots.select(F.col("node").alias(at), F.col("root").alias(to))
-        known = led.drop("root", "hroot").join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
-        known = known.withColumn("root", F.coalesce("_r", "node")).withColumn("apart", F.col("root") != F.coalesce("_h", "hnode"))
-        known = stored(known.select(F.xxhash64("chain", "hnode").alias("chain"), "node", "n", "hnode", "root", "apart"), "shingle-known")
-        open_ = known.groupBy("chain").agg(F.max("apart").alias("_open"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("sets")).where("_open and _a <> _b")
-        open_ = stored(open_.select("chain", "sets"), "shingle-open")
-        if open_.isEmpty():
-            return roots
-        close = _few(known.join(open_.where(F.col("sets") <= CLOSED), "chain", "left_semi").groupBy("chain").agg(F.collect_list(F.struct("node", "root")).alias("g")))
-        links = stored(links.union(linked(_verified(stored(close.distinct(), "shingle-close"), full))), "shingle-links")
-        if open_.where(F.col("sets") > CLOSED).isEmpty():
-            return stored(components(links), "shingle-roots")
-        left = known.join(open_.where(F.col("sets") > CLOSED), "chain", "left_semi")
-        mine, theirs = full.select("node", F.col("tokens").alias("_t")), full.select(F.col("node").alias("hnode"), F.col("tokens").alias("_h"))
-        left = left.join(mine, "node").join(theirs, "hnode").select("chain", "node", "n", "root", "apart", F.array_except("_t", "_h").alias("own"))
-        left = stored(left.withColumn("inside", F.col("n") - F.size("own")), "shingle-left")
-        one, two = left.drop("own"), left.where("apart").select("chain", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "root", "inside")])
-        short = (F.col("root") != F.col("xroot")) & like.possible(F.col("n"), F.col("xn")) & like.holds(F.least("inside", "xinside"), F.col("n"), F.col("xn"))
-        shorts = one.where(like.room(F.col("inside"), F.col("n"))).join(two.where(like.room(F.col("xinside"), F.col("xn"))), "chain").where(short).select(*_ordered("node", "xnode")).distinct()
-        links = stored(links.union(linked(_verified(stored(shorts, "shingle-shorts"), full))), "shingle-links")
-        keys = left.select("chain", "node", "n", "root", F.size("own").alias("total"), F.explode("own").alias("token"))
-        keys = stored(keys.select(F.xxhash64("chain", "token").alias("key"), "chain", "node", "n", "total", "root"), "shingle-keys")
+    sizes = stored(full.select("node", "n", "inside"), "shingle-sizes")
+    some = keys.join(sizes, "node")
+    heads = some.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("inside")).alias("lone"), "node", "n", "inside")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    heads = stored(heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn"), F.col("h.inside").alias("hin")), "shingle-heads")
+    led = stored(some.join(heads, "key").select("node", "n", "inside", "hnode", "hn", "hin").distinct(), "shingle-led")
+    fits = lambda n, i, m, j: like.possible(n, m) & like.holds(F.least(i, j), n, m)
+    first = led.where("node <> hnode").where(fits(*map(F.col, ("n", "inside", "hn", "hin")))).select(*_ordered("node", "hnode"))
+    inside = lambda at: sizes.select(F.col("node").alias(at), F.col("inside").alias(f"_{at}"))
+    seen = stored(_verified(stored(pairs.join(inside("a"), "a").join(inside("b"), "b").select("a", "b").union(first).distinct(), "shingle-pairs"), full), "shingle-seen")
+    roots = stored(components(linked(seen)), "shingle-roots")
+    root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
+    known = led.where("node <> hnode").join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
+    known = known.withColumn("root", F.coalesce("_r", "node")).withColumn("apart", F.col("root") != F.coalesce("_h", "hnode"))
+    #: Distances from the head, a metric: sets that differ in them by more than a link allows are not linked.
+    far = seen.select("a", "b", (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
+    known = known.withColumn("a", F.least("node", "hnode")).withColumn("b", F.greatest("node", "hnode")).join(far, ["a", "b"], "left")
+    known = stored(known.select("hnode", "node", "n", "inside", "root", "apart", "d"), "shingle-known")
+    apart = known.where("apart").select("hnode", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "inside", "root", "d")])
+    near = F.coalesce(F.abs(F.col("d") - F.col("xd")) <= F.lit((100 - like.percent) / 100 + 1e-9), F.lit(True))
+    again = known.join(apart, "hnode").where("root <> xroot and (node < xnode or not apart)").where(near & fits(*map(F.col, ("n", "inside", "xn", "xinside"))))
+    again = stored(again.select(*_ordered("xnode", "node")).distinct(), "shingle-again")
+    if again.isEmpty():
+        return roots
+    return stored(components(linked(seen).union(linked(_verified(again, full)))), "shingle-roots")
 
 
 def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -342,12 +329,14 @@ def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callabl
     ready = stored(ready, "shingle-ready")
     pairs = stored(_rare_pairs(shared, ready), "shingle-rare")
     flagged = ready.where("frequent >= least")
-    keys = _reread(rows, flagged, sets_of, lambda s: combinations(like, s)).select(F.explode("tokens").alias("key"), "node", "n", F.size("tokens").alias("total"))
-    keys = stored(keys.select("key", F.lit(0).cast("long").alias("chain"), "node", "n", "total", F.col("node").alias("root")), "shingle-keys")
+    keys = _reread(rows, flagged, sets_of, lambda s: combinations(like, s)).select(F.explode("tokens").alias("key"), "node")
+    keys = stored(keys, "shingle-keys")
     forget(counts, shared)
     several = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     named = keys.join(several.select("key"), "key", "left_semi").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     full = stored(_reread(rows, ready.join(named, "node", "left_semi"), sets_of, lambda s: s), "shingle-full")
+    for _ in range(2):  # what is alone grows as sets without room for a link go
+        full = stored(_insides(full).where(like.room(F.col("inside"), F.col("n"))), "shingle-insides")
     roots = _connected(keys, full, pairs, like)
     forget(full, ready, pairs)
     copies = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
