@@ -236,7 +236,7 @@ def _reread(rows: DataFrame, wanted: DataFrame, sets_of: SetsOf, of: Callable[[l
         whole[k] = np.frombuffer(b, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(whole.tobytes())
     found = rows.select("u", "text").mapInArrow(_made(sets_of, of, shared), "u long, n long, h1 long, h2 long, tokens array<long>")
-    return found.join(wanted.select("node", "u", "h1", "h2"), ["u", "h1", "h2"]).dropDuplicates(["node"]).select("node", "n", "tokens")
+    return found.join(wanted.select("node", "u", "h1", "h2"), ["u", "h1", "h2"]).dropDuplicates(["u", "h1", "h2"]).select("node", "n", "tokens")
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 
 def _rare_pairs(shared: DataFrame, ready: DataFrame) -> DataFrame:
     """(a, b) of sets that share rare tokens, as many as their frequent ones leave to be shared."""
-    some = shared.where(F.col("held") < FREQUENT).join(ready.where("rare >= need").select("node", "need"), "node")
+    some = shared.where(F.col("held") < FREQUENT).select("token", "node").join(ready.where("rare >= need").select("node", "need"), "node")
     groups = some.groupBy("token").agg(F.collect_list(F.struct("node", "need")).alias("g")).where("size(g) > 1")  # at most FREQUENT - 1 sets
     pair = "x -> struct(least(x.l.node, x.r.node) as a, greatest(x.l.node, x.r.node) as b, greatest(x.l.need, x.r.need) as need)"
     every = F.expr(f"transform(flatten(transform(g, (l, i) -> transform(slice(g, i + 2, size(g)), r -> struct(l as l, r as r)))), {pair})")
@@ -315,13 +315,15 @@ def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callabl
     made = stored(rows.mapInArrow(_made(sets_of, None), f"u long, doc_id {kind}, n long, h1 long, h2 long"), "shingle-rows")
     own = rows.select("u", "text").mapInArrow(_made(sets_of, lambda s: prefixes(like, s)), "u long, n long, h1 long, h2 long, tokens array<long>")
     sets = own.groupBy("h1", "h2").agg(F.min("u").alias("u"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
-    postings = sets.select("node", F.explode("tokens").alias("token"), "n")
+    indexed = stored(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    sets = stored(indexed.drop("tokens"), "shingle-nodes")
+    postings = indexed.select("node", F.explode("tokens").alias("token"), "n")
     if partition is not None:
         postings = postings.withColumn("part", F.explode(partition(F.col("n")))).withColumn("token", F.xxhash64("part", "token"))
     postings = postings.select("token", "node")
     counts = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shingle-counts")
     shared = stored(postings.join(counts, "token"), "shingle-shared")
+    forget(indexed, counts)
     often = F.col("held") >= FREQUENT
     per = shared.groupBy("node").agg(F.sum((~often).cast("long")).alias("rare"), F.sum(often.cast("long")).alias("frequent"))
     ready = per.join(sets.select("node", "n", "u", "h1", "h2"), "node").withColumn("least", like.least_shared(F.col("n")))
@@ -331,14 +333,14 @@ def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callabl
     flagged = ready.where("frequent >= least")
     keys = _reread(rows, flagged, sets_of, lambda s: combinations(like, s)).select(F.explode("tokens").alias("key"), "node")
     keys = stored(keys, "shingle-keys")
-    forget(counts, shared)
+    forget(shared)
     several = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     named = keys.join(several.select("key"), "key", "left_semi").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     full = stored(_reread(rows, ready.join(named, "node", "left_semi"), sets_of, lambda s: s), "shingle-full")
-    for _ in range(2):  # what is alone grows as sets without room for a link go
-        full = stored(_insides(full).where(like.room(F.col("inside"), F.col("n"))), "shingle-insides")
+    whole, full = full, stored(_insides(full).where(like.room(F.col("inside"), F.col("n"))), "shingle-insides")
+    forget(whole)
     roots = _connected(keys, full, pairs, like)
-    forget(full, ready, pairs)
+    forget(full, ready, pairs, keys)
     copies = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     some = copies.join(sets.select("h1", "h2", "node"), ["h1", "h2"]).join(roots, "node", "left").where("copies > 1 or root is not null")
     some = stored(some.withColumn("root", F.coalesce("root", "node")), "shingle-some")
