@@ -43,7 +43,10 @@ def paired(found: DataFrame, records: DataFrame, truth: DataFrame | None = None)
     pairs = found.select("s1_id", "target_id")
     if truth is not None:
         pairs = pairs.join(truth.select("s1_id", "target_id").distinct().withColumn("_hit", F.lit(1)), ["s1_id", "target_id"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
-    return pairs.join(one, "s1_id").join(two, "target_id")
+    #: Ids are small, so exchanges of them are joined into few tasks; the features of a pair are costly.
+    context = records.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.join(one, "s1_id").join(two, "target_id").repartition(tasks, "s1_id", "target_id")
 
 
 def _flag(c: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 
 from ..functions.vocab import ADDRESS_WORDS, LEGAL_SUFFIXES, STOPWORDS
 
-CAP, TOP = 10, 5
+CAP, TOP = 200, 50
 
 
 def _list(words) -> str:
@@ -18,7 +18,7 @@ SUFFIX, STOP, SHORT, FULL = _list(LEGAL_SUFFIXES), _list(STOPWORDS), _list(ADDRE
 PART = """r as (select 'S' || (p_partkey % 3 + 1) || '-' || lpad(cast(p_partkey as varchar), 7, '0') as entity_id, p_partkey % 3 + 1 as source, (p_partkey % 3 + 1) * 1000000000000000 + p_partkey as ord,
     coalesce(p_name, '') as business_name, concat_ws(' ', p_brand, cast(p_size as varchar)) as business_address, coalesce(p_type, '') as country from part)"""
 DOCS = """r as (select 'S' || (doc_id % 3 + 1) || '-' || lpad(cast(doc_id as varchar), 7, '0') as entity_id, doc_id % 3 + 1 as source, (doc_id % 3 + 1) * 1000000000000000 + doc_id as ord,
-    array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ') as business_name, concat_ws(' ', source, cast(n_chars as varchar)) as business_address, coalesce(lang, '') as country from documents)"""
+    coalesce(text, '') as business_name, concat_ws(' ', source, cast(n_chars as varchar)) as business_address, coalesce(lang, '') as country from documents)"""
 TRUTH = """g as (select distinct 'S1-' || lpad(cast(a.p_partkey as varchar), 7, '0') as s1_id, 'S' || (b.p_partkey % 3 + 1) || '-' || lpad(cast(b.p_partkey as varchar), 7, '0') as target_id
     from part a join part b on a.p_name = b.p_name and a.p_brand = b.p_brand where a.p_partkey % 3 = 0 and b.p_partkey % 3 <> 0)"""
 

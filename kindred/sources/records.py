@@ -29,8 +29,11 @@ class Settings:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All strings, missing values as ''; white space and "NA" stay. A missing file raises FileNotFoundError."""
-    reader = spark.read.option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+    """All strings, missing values as ''; white space and "NA" stay. A missing file raises FileNotFoundError.
+
+    A record is a line, so a large file is read by many tasks.
+    """
+    reader = spark.read.option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     try:
         return reader.schema(schema).csv(path).na.fill("")
     except AnalysisException as e:
@@ -109,6 +112,6 @@ def part_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as businesses: five words as name, source and length as address, the language as country."""
+    """Documents as businesses: the whole text as name, source and length as address, the language as country."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "n_chars", "lang")
-    return _adapted(df, "doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " "), F.concat_ws(" ", "source", F.col("n_chars").cast("string")), F.col("lang"))
+    return _adapted(df, "doc_id", F.col("text"), F.concat_ws(" ", "source", F.col("n_chars").cast("string")), F.col("lang"))
