@@ -10,8 +10,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of packed rows that a group of applyInArrow holds, about; it is one task's input at once.
-GROUP_BYTES = 32 << 20
 #: Folders that this driver has made, which go when it ends.
 _made: set[tuple[str, SparkSession]] = set()
 
@@ -87,15 +85,6 @@ def fan_out(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def shards_for(df: DataFrame, column: str = "text", of: float = 1.0) -> int:
-    """Groups for packed rows whose bytes are about `of` times those of a text column: GROUP_BYTES each.
-
-    The number follows the data, so a group stays as large whatever their size, and whatever the session's settings.
-    """
-    size = df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
-    return max(8, -(-int(size * of) // GROUP_BYTES))
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """docs with columns c0, c1, ..., which clash with no other, and these by their names."""
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
