@@ -12,8 +12,8 @@ the first n - o + k of each. Every filter below is exact:
 3. Candidates are verified on whole sets.
 
 Sets that share a combination are compared with one of them, the head. Those that this does not connect are compared
-with the others below the head, but for those that their sizes, their tokens that no other set has or their distances
-from the head rule out. So a group of near copies costs about as many comparisons as it has members, and still no
+with the others below the head, but for those that their sizes, their distances from the head, or their tokens that the head or
+no other set has rule out. So a group of near copies costs about as many comparisons as it has members, and still no
 component is missed.
 """
 
@@ -34,6 +34,8 @@ from .text import mix, sliced, words_hashed
 
 #: Sets that hold a frequent token at least. Rare tokens make at most FREQUENT * (FREQUENT - 1) / 2 pairs.
 FREQUENT = 8
+#: Times that sets without room for any link are left out; each time further tokens have one set only.
+NARROWED = 3
 #: Bits of the filter that tells which rows are read again.
 WANTED_BITS = 1 << 25
 #: Bits of a token by which it is indexed; whole tokens are compared when sets are verified.
@@ -275,29 +277,31 @@ def _connected(keys: DataFrame, full: DataFrame, pairs: DataFrame, like: Likenes
 
     All sets of a key are compared with its head only, the set with the fewest tokens that no other has, as the most
     central one has. Those below one head that are not connected with it are then compared with the others there, if
-    their sizes, the tokens that some other set has too, and their distances from the head leave room for a link.
+    their sizes, their distances from the head, and what they can share of its tokens and of others leave room for a link.
     """
     linked = lambda v: v.where(like.holds(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
     sizes = stored(full.select("node", "n", "inside"), "shingle-sizes")
     some = keys.join(sizes, "node")
-    heads = some.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("inside")).alias("lone"), "node", "n", "inside")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    heads = stored(heads.select("key", F.col("h.node").alias("hnode"), F.col("h.n").alias("hn"), F.col("h.inside").alias("hin")), "shingle-heads")
-    led = stored(some.join(heads, "key").select("node", "n", "inside", "hnode", "hn", "hin").distinct(), "shingle-led")
-    fits = lambda n, i, m, j: like.possible(n, m) & like.holds(F.least(i, j), n, m)
-    first = led.where("node <> hnode").where(fits(*map(F.col, ("n", "inside", "hn", "hin")))).select(*_ordered("node", "hnode"))
+    heads = some.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("inside")).alias("lone"), "node")).alias("h"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    heads = stored(heads.select("key", F.col("h.node").alias("hnode")), "shingle-heads")
+    led = stored(some.join(heads, "key").where("node <> hnode").select("node", "n", "inside", "hnode").distinct(), "shingle-led")
+    first = led.select(*_ordered("node", "hnode"))
     inside = lambda at: sizes.select(F.col("node").alias(at), F.col("inside").alias(f"_{at}"))
     seen = stored(_verified(stored(pairs.join(inside("a"), "a").join(inside("b"), "b").select("a", "b").union(first).distinct(), "shingle-pairs"), full), "shingle-seen")
     roots = stored(components(linked(seen)), "shingle-roots")
     root = lambda at, to: roots.select(F.col("node").alias(at), F.col("root").alias(to))
-    known = led.where("node <> hnode").join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
+    known = led.join(root("node", "_r"), "node", "left").join(root("hnode", "_h"), "hnode", "left")
     known = known.withColumn("root", F.coalesce("_r", "node")).withColumn("apart", F.col("root") != F.coalesce("_h", "hnode"))
     #: Distances from the head, a metric: sets that differ in them by more than a link allows are not linked.
-    far = seen.select("a", "b", (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
+    far = seen.select("a", "b", F.col("common").alias("with"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
     known = known.withColumn("a", F.least("node", "hnode")).withColumn("b", F.greatest("node", "hnode")).join(far, ["a", "b"], "left")
-    known = stored(known.select("hnode", "node", "n", "inside", "root", "apart", "d"), "shingle-known")
-    apart = known.where("apart").select("hnode", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "inside", "root", "d")])
-    near = F.coalesce(F.abs(F.col("d") - F.col("xd")) <= F.lit((100 - like.percent) / 100 + 1e-9), F.lit(True))
-    again = known.join(apart, "hnode").where("root <> xroot and (node < xnode or not apart)").where(near & fits(*map(F.col, ("n", "inside", "xn", "xinside"))))
+    known = stored(known.select("hnode", "node", "n", "inside", "root", "apart", "with", "d"), "shingle-known")
+    apart = known.where("apart").select("hnode", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "inside", "root", "with", "d")])
+    near = F.abs(F.col("d") - F.col("xd")) <= F.lit((100 - like.percent) / 100 + 1e-9)
+    #: Two sets share no more of the head's tokens than either has, and no more others than either shares with any set.
+    most = F.least("with", "xwith") + F.least(F.col("inside") - F.col("with"), F.col("xinside") - F.col("xwith"))
+    again = known.join(apart, "hnode").where("root <> xroot and (node < xnode or not apart)")
+    again = again.where(like.possible(F.col("n"), F.col("xn")) & near & like.holds(most, F.col("n"), F.col("xn")))
     again = stored(again.select(*_ordered("xnode", "node")).distinct(), "shingle-again")
     if again.isEmpty():
         return roots
@@ -337,8 +341,9 @@ def classed(docs: DataFrame, sets_of: SetsOf, like: Likeness, partition: Callabl
     several = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     named = keys.join(several.select("key"), "key", "left_semi").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     full = stored(_reread(rows, ready.join(named, "node", "left_semi"), sets_of, lambda s: s), "shingle-full")
-    whole, full = full, stored(_insides(full).where(like.room(F.col("inside"), F.col("n"))), "shingle-insides")
-    forget(whole)
+    for _ in range(NARROWED):  # what goes has no link, so no pair is lost
+        whole, full = full, stored(_insides(full).where(like.room(F.col("inside"), F.col("n"))), "shingle-insides")
+        forget(whole)
     roots = _connected(keys, full, pairs, like)
     forget(full, ready, pairs, keys)
     copies = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
