@@ -270,6 +270,28 @@ def er_threshold_curve(spark, d):
     return _rounded(matcher.threshold_curve(_proba(spark, d), rec.part_truth(spark, d)), ["macro_fbeta"])
 
 
+@query(f"with c as ({o.curve_sql(matcher.WEIGHTS, matcher.BIAS)}) select threshold, macro_fbeta from c order by macro_fbeta desc, threshold limit 1")
+def er_tune_threshold(spark, d):
+    return er_threshold_curve(spark, d).orderBy(F.desc("macro_fbeta"), "threshold").limit(1)
+
+
+@query(f"with {o.PART}, {o.TRUTH}, l as (select s1_id, string_agg(target_id, ',' order by target_id) as ids from g group by 1) select s1_id, unnest(string_split(ids, ',')) as target_id from l")
+def er_truth_lists(spark, d):
+    """Known links as comma lists, and these taken apart again."""
+    lists = rec.part_truth(spark, d).groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("ids"))
+    return rec.truth_links(lists, "s1_id", "ids")
+
+
+@query(f"with {o.PART} select source, count(*) as n_rows, count(distinct entity_id) as n_entities, min(entity_id) as first_id, max(entity_id) as last_id from r group by 1")
+def er_source_profile(spark, d):
+    return _parts(spark, d).groupBy(F.col("source").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"), F.min("entity_id").alias("first_id"), F.max("entity_id").alias("last_id"))
+
+
+@query(f"with {o.PART}, {o.TRUTH} select s1_id, target_id from g")
+def er_truth_links(spark, d):
+    return rec.part_truth(spark, d).select("s1_id", "target_id").distinct()
+
+
 def _faulty(spark, d) -> tuple[DataFrame, DataFrame]:
     """Match lists with planted faults, and the records."""
     r = _parts(spark, d)
