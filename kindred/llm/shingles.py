@@ -35,7 +35,7 @@ from .text import mix, sliced, words_hashed
 #: Sets that hold a frequent token at least. Rare tokens make at most FREQUENT * (FREQUENT - 1) / 2 pairs.
 FREQUENT = 8
 #: Times that sets without room for any link are left out; each time further tokens have one set only.
-NARROWED = 3
+NARROWED = 2
 #: Bits of the filter that tells which rows are read again.
 WANTED_BITS = 1 << 25
 #: Bits of a token by which it is indexed; whole tokens are compared when sets are verified.
