@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_country, norm_key
@@ -52,13 +52,16 @@ def matches(norm: DataFrame, rule: str) -> DataFrame:
 def _flagged(norm: DataFrame, key: str, rules: list[str]) -> DataFrame:
     """(rule, s1_id, target_id) of all rules' alternatives that compare this key, from one join on it.
 
-    The counts of equal targets are taken where the join needs the rows anyway: by this key, and within it by both.
+    The counts of equal targets, by this key and by both, go to the entities' side, so no task sees all rows of a key.
     """
     other = "addr" if key == "name" else "name"
     filled = (F.col("country") != "") & (F.col(key) != "")
+    targets = norm.where("source > 1").where(filled)
+    both = targets.groupBy("country", key, F.col(other).alias("_mine")).agg(F.count(F.lit(1)).alias("_both"))
+    alone = both.groupBy("country", key).agg(F.sum("_both").alias("_n"))
     one = norm.where("source = 1").where(filled).select(F.col("entity_id").alias("s1_id"), "country", key, F.col(other).alias("_mine"))
-    alone, both = Window.partitionBy("country", key), Window.partitionBy("country", key, other)
-    two = norm.where("source > 1").where(filled).select(F.col("entity_id").alias("target_id"), "country", key, F.col(other), F.count(F.lit(1)).over(alone).alias("_n"), F.count(F.lit(1)).over(both).alias("_both"))
+    one = one.join(alone, ["country", key]).join(both, ["country", key, "_mine"], "left")
+    two = targets.select(F.col("entity_id").alias("target_id"), "country", key, other)
     holds = []
     for rule in rules:
         for keys, unique in RULES[rule]:
