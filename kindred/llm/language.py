@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, mix, pieces, sliced, spans_hashed, word_bounds
+from .text import LOWER, SPACE, mix, pieces, sliced, spans_hashed, word_bounds
 from .toxicity import held_out
 
 #: Buckets of letter trigrams and of whole words; documents that are learned from at most, those of the smallest hashes.
@@ -55,6 +55,7 @@ def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.
     counts = np.zeros(len(texts) + 1, np.int64)
     for first, last, joined in pieces(texts):
         buf = LOWER[np.frombuffer(b" " + joined + b" ", np.uint8)]
+        buf[SPACE[buf]] = 0x20  # a word's edge trigrams are the same beside any white space
         starts, ends = word_bounds(buf)
         if last - first == 1:
             counts[first + 1] += len(starts)
