@@ -28,20 +28,28 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), many
 
 
-def _words(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _ranges(chars) -> str:
+    """The inside of a character class: a class is tried range by range, so neighbours are one."""
+    out: list[list[int]] = []
+    for code in sorted(ord(c) for c in chars):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
 def fold_ascii(c: Column) -> Column:
     """Compatibility decomposition with all that is not ASCII dropped; null as ''.
 
-    Pure ASCII, the usual case, costs one scan; characters that become several go letter by letter.
+    Pure ASCII, the usual case, costs one scan; characters that become several are cut out and looked up.
     """
     source, target, many = _foldings()
     c = F.coalesce(c, F.lit(""))
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    rare = c.rlike("[" + "".join(many) + "]")
+    several = rf"(?=[^\x00-\x7F])[{_ranges(many)}]"
+    spread = F.array_join(F.transform(F.split(c, f"(?={several})|(?<={several})"), lambda part: F.coalesce(F.try_element_at(table, part), part)), "")
+    rare = c.rlike(several)
     folded = F.regexp_replace(F.translate(F.when(rare, spread).otherwise(c), source, target), r"[^\x00-\x7F]", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
@@ -60,7 +68,7 @@ def tokenize(c: Column) -> Column:
 
 
 def remove_suffixes(a: Column) -> Column:
-    return F.filter(a, lambda t: (F.length(t) > 1) & ~F.array_contains(_words(LEGAL_SUFFIXES), t))
+    return F.filter(a, lambda t: (F.length(t) > 1) & ~t.isin(LEGAL_SUFFIXES))
 
 
 def expand_address(a: Column) -> Column:
@@ -69,7 +77,7 @@ def expand_address(a: Column) -> Column:
 
 
 def remove_stopwords(a: Column) -> Column:
-    return F.filter(a, lambda t: ~F.array_contains(_words(STOPWORDS), t))
+    return F.filter(a, lambda t: ~t.isin(STOPWORDS))
 
 
 def is_digits(t: Column) -> Column:
@@ -77,7 +85,7 @@ def is_digits(t: Column) -> Column:
 
 
 def canonical_name_of(tokens: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(remove_stopwords(remove_suffixes(tokens)))), " ")
+    return F.array_join(F.sort_array(remove_stopwords(remove_suffixes(F.array_distinct(tokens)))), " ")
 
 
 def canonical_address_of(tokens: Column) -> Column:
@@ -99,11 +107,10 @@ def ngrams(text: Column, low: int = 2, high: int = 3) -> Column:
     padded = F.concat(F.lit(" "), text, F.lit(" "))
 
     def of_length(n: int) -> Column:
-        last = F.greatest(F.lit(1), F.length(padded) - n + 1)
-        return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))  # one pass, whatever the length
 
     grams = [of_length(n) for n in range(low, high + 1)]
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*grams)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*grams)))
 
 
 def tokens_set(tokens: Column, drop_suffixes: bool = False, drop_stopwords: bool = False) -> Column:

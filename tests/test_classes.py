@@ -58,3 +58,20 @@ def test_pairs_of_classes(spark, at, name):
     if sql:
         assert rows == sorted(repr(tuple(r)) for r in con.sql(f"select {', '.join(columns)} from ({sql})").fetchall())
     assert joined(found) < 500  # there are 3000 links and more
+
+
+def test_ngrams_of_a_long_text(spark):
+    """The time of n-grams grows with the text, not with its square."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kindred.functions import text as tx
+
+    long = " ".join(f"w{i:05d}" for i in range(40_000))
+    df = spark.createDataFrame([(long,), ("a😀b\nc",), (None,)], "t string")
+    began = time.monotonic()
+    found = [set(r[0]) for r in df.select(tx.ngrams(F.col("t"))).collect()]
+    grams = lambda s: {s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)}
+    assert found == [grams(f" {long} "), grams(" a😀b\nc "), set()]
+    assert time.monotonic() - began < 20
