@@ -9,6 +9,7 @@ import __spark_entry__
 
 COPIES = 30
 QUERIES = [
+    "er_quick_score",
     "er_validate_summary",
     "er_weighted_proba",
     "er_submission_brackets",
